@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from . import decontaminate, licences
+from .decontaminate import op2_decontamination
 from .langid import op4_language
+from .licences import op5_licences
+from .mixing import op9_mixing
 from .quality import op10_quality
 from .toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_language": op4_language, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
+    "op4_language": op4_language,
+    "op5_licences": op5_licences,
+    "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
+}
+ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op5_licences": licences.oracle()}
