@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences
+from . import decontaminate, jaccard, licences, vectors
 from .decontaminate import op2_decontamination
+from .jaccard import op8_jaccard
 from .langid import op4_language
 from .licences import op5_licences
 from .mixing import op9_mixing
 from .quality import op10_quality
 from .toxicity import op1_toxicity
+from .vectors import op7_vectors
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op4_language": op4_language,
     "op5_licences": op5_licences,
+    "op7_vectors": op7_vectors,
+    "op8_jaccard": op8_jaccard,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
-ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op5_licences": licences.oracle()}
+ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op5_licences": licences.oracle(), "op7_vectors": vectors.ORACLE, "op8_jaccard": jaccard.ORACLE}
