@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import bytesops as B
-from .common import saved
+from .common import key_filter, passes, saved
 from .components import components
 
 SHINGLE = 5
@@ -33,7 +33,6 @@ FLAT = 64  # up to so many shingles every shingle is a part of its own
 SKETCH_BITS = 512
 SLOTS = 1 << 19  # counters for the rarity order: 2 MB, whatever the input
 SLICE = 1 << 13
-FILTER_BITS = 24  # the filter of nodes whose sets are needed: 2 MB, whatever the input
 TILE = 512
 _U = np.uint64
 _MULTIPLIERS = B.mix(np.arange(11, 11 + SHINGLE, dtype=_U)) | _U(1)
@@ -163,8 +162,7 @@ def _sets(bits: np.ndarray):
                 nodes, blobs = [], []
                 for h in shingles(data, bounds):
                     node = node_of(h)
-                    slot = node % (1 << FILTER_BITS)
-                    if not bits[slot >> 3] >> (slot & 7) & 1 or node in seen:
+                    if not passes(bits, np.array([node])).all() or node in seen:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(node)
@@ -204,29 +202,10 @@ def _tiles(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def _needed(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of 2^FILTER_BITS places, of fixed size, of the nodes whose sets are needed."""
-    place = F.pmod(F.col("node"), F.lit(1 << FILTER_BITS))
-    found = nodes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    # Spark's buckets hold 32768 places each and are numbered from 1
-    bits = np.zeros((1 << FILTER_BITS) // 8 + 8192, np.uint8)
-    for r in found:
-        # place p > 0 is in bucket 1 + (p - 1) // 32768 at (p - 1) % 32768; place 0 is in bucket 0 at 0
-        at = (r["bucket"] - 1) * 4096
-        if r["bucket"] <= 0:
-            bits[-1] = 1
-        else:
-            bits[at : at + 4096] |= np.frombuffer(r["bits"], np.uint8)
-    plain = np.unpackbits(bits[: (1 << FILTER_BITS) // 8], bitorder="little")
-    shifted = np.empty_like(plain)
-    shifted[1:], shifted[0] = plain[:-1], bits[-1]
-    return np.packbits(shifted, bitorder="little")
-
-
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough, by exact comparison."""
     pairs = saved(pairs)
-    bits = _needed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    bits = key_filter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node")
     sets = saved(texts.mapInArrow(_sets(bits), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")))
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")

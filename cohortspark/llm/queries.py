@@ -9,6 +9,7 @@ from .langid import op4_language
 from .licences import op5_licences
 from .mixing import op9_mixing
 from .quality import op10_quality
+from .suffix import op6_suffix
 from .toxicity import op1_toxicity
 from .vectors import op7_vectors
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_language": op4_language,
     "op5_licences": op5_licences,
+    "op6_suffix": op6_suffix,
     "op7_vectors": op7_vectors,
     "op8_jaccard": op8_jaccard,
     "op9_mixing": op9_mixing,
