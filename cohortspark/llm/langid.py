@@ -166,34 +166,60 @@ def _has_letter(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _labeller(model: bytes):
+    """A function from a text column to its languages and their scores."""
+    m = unpack(model)
+    index, p, langs = B.Keys(m["keys"]), m["p"].astype(float), [str(x) for x in m["langs"]]
+
+    def label(column: pa.Array) -> tuple[list[str], np.ndarray]:
+        preds, scores = [], []
+        for at, to, data, bounds in B.chunks(column):
+            low = B.latin_lower(data)
+            total = np.zeros((len(langs), to - at))
+            start, end, row = word_spans(low, bounds)
+            if len(start):
+                first, inverse = distinct_words(low, start, end)
+                words = Words(low, start[first], end[first], index)
+                back = np.empty_like(words.order)
+                back[words.order] = np.arange(len(words.order))
+                for k in range(len(langs)):
+                    each = words.log_probability(p[k])[back]
+                    total[k] = np.bincount(row, weights=each[inverse], minlength=to - at)
+            best = total.argmax(0)
+            score = 1 / np.exp(np.maximum(total - total.max(0), -700)).sum(0)
+            letters = _has_letter(data, bounds)
+            preds += [langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
+            scores.append(np.where(letters, score, 0.0))
+        return preds, np.concatenate(scores) if scores else np.zeros(0)
+
+    return label
+
+
 def _scorer(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = unpack(model)
-        index, p, langs = B.Keys(m["keys"]), m["p"].astype(float), [str(x) for x in m["langs"]]
+        label = _labeller(model)
         for batch in batches:
-            preds, scores = [], []
-            for at, to, data, bounds in B.chunks(batch.column("text")):
-                low = B.latin_lower(data)
-                total = np.zeros((len(langs), to - at))
-                start, end, row = word_spans(low, bounds)
-                if len(start):
-                    first, inverse = distinct_words(low, start, end)
-                    words = Words(low, start[first], end[first], index)
-                    back = np.empty_like(words.order)
-                    back[words.order] = np.arange(len(words.order))
-                    for k in range(len(langs)):
-                        each = words.log_probability(p[k])[back]
-                        total[k] = np.bincount(row, weights=each[inverse], minlength=to - at)
-                best = total.argmax(0)
-                score = 1 / np.exp(np.maximum(total - total.max(0), -700)).sum(0)
-                letters = _has_letter(data, bounds)
-                preds += [langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-                scores.append(np.where(letters, score, 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["id", "lang_pred", "score"])
+            preds, scores = label(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(preds, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
 
     return run
 
 
+def keep_identified(docs: DataFrame, model: bytes | None, *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language with a score of at least `least`. Without a
+    model nothing is rejected."""
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = _labeller(model)
+        for batch in batches:
+            preds, scores = label(batch.column(text))
+            yield batch.filter(pa.array([p != "und" for p in preds], pa.bool_()) if least <= 0 else pa.array((np.array(preds) != "und") & (scores >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: bytes | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): one row for each row of docs, over the whole text; score is the language's
     share of the summed probabilities. Null texts, texts without a letter, and all texts if there

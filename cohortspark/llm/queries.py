@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontaminate, jaccard, licences, vectors
 from .decontaminate import op2_decontamination
 from .jaccard import op8_jaccard
+from .katz import op3_katz
 from .langid import op4_language
 from .licences import op5_licences
 from .mixing import op9_mixing
@@ -16,6 +17,7 @@ from .vectors import op7_vectors
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_katz": op3_katz,
     "op4_language": op4_language,
     "op5_licences": op5_licences,
     "op6_suffix": op6_suffix,

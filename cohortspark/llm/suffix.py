@@ -290,27 +290,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(len(text) - len(left))
             spans.append(len(runs))
             digests.append(hashlib.sha256(left).hexdigest())
-            kept.append(left)
+            kept.append(left.decode("utf-8", "ignore"))
         sizes = np.diff(bounds)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["id", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string()), batch.column("extra")], ["id", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "extra"])
 
 
-def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, _h, n_bytes, n_removed, n_spans, kept_sha256, kept): one row for each row of docs.
+def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, _h, n_bytes, n_removed, n_spans, kept_sha256, kept, extra): one row for each row of docs.
 
-    Every byte covered by a LENGTH-byte string that also starts anywhere else goes; kept holds the bytes that stay.
+    Every byte covered by a LENGTH-byte string that also starts anywhere else goes. kept_sha256 is over the bytes that
+    stay; kept is their text, without characters that a cut left incomplete. extra is a struct of the columns to carry.
     Null texts count as empty; texts shorter than LENGTH lose nothing; a repeated row is a repeated
     document. _h is the hash of the text that, with the id, is a row's key."""
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("extra"))
     shared = texts.mapInArrow(_cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
     bits = key_filter(shared, "core")
     found = saved(texts.mapInArrow(_items(bits), f"id {kind}, h long, p long, omin int, omax int, cell int, core long, sig long"))
     offsets = repeated_offsets(found, texts)
     cuts = found.select("id", "h", "p", "sig").join(offsets, "sig").select("id", "h", F.struct((F.col("p") - F.col("high")).alias("lo"), (F.col("p") - F.col("low") + LENGTH).alias("hi")).alias("cut"))
     per_doc = cuts.groupBy("id", "h").agg(F.collect_set("cut").alias("cuts"))
-    joined = texts.alias("t").join(per_doc.select(F.col("id").alias("c_id"), F.col("h").alias("c_h"), "cuts"), F.expr("id <=> c_id and h = c_h"), "left").select("id", "h", "text", "cuts")
-    out = joined.mapInArrow(_cut, f"id {kind}, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = whole.join(per_doc.select(F.col("id").alias("c_id"), F.col("h").alias("c_h"), "cuts"), F.expr("id <=> c_id and h = c_h"), "left").select("id", "h", "text", "cuts", "extra")
+    out = joined.mapInArrow(_cut, f"id {kind}, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, extra {joined.schema['extra'].dataType.simpleString()}")
     return out.withColumnsRenamed({"id": doc_id, "h": "_h"})
 
 
