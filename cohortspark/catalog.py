@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from cohortspark.queries import audit, scores, space
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scores.QUERIES | audit.QUERIES | space.QUERIES
+ORACLES: dict[str, str] = scores.ORACLES | audit.ORACLES | space.ORACLES
