@@ -68,7 +68,7 @@ WIDTH = 20
 
 def mesh_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MESH: (vertex, x, y, z, value): a regular sheet, WIDTH vertices wide, with a bumpy height; every seventh value is 0."""
-    v = F.col("p_partkey") - 1
+    v = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(v.alias("vertex"), (v % WIDTH).cast("double").alias("x"), F.floor(v / WIDTH).cast("double").alias("y"), (F.col("p_size") / 50.0).alias("z"), F.when(v % 7 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("value"))
 
 
@@ -98,7 +98,7 @@ SQL = {
     "pat": "pat AS (SELECT * FROM (SELECT DISTINCT o_orderpriority AS feature FROM orders) CROSS JOIN (SELECT DISTINCT o_orderstatus AS structure FROM orders))",
     "grid": "grid AS (SELECT c_custkey AS subject, feature, structure, EXISTS (SELECT 1 FROM inv WHERE inv.subject = c_custkey AND inv.feature = pat.feature AND inv.structure = pat.structure) AS present FROM customer CROSS JOIN pat)",
     "vox": "vox AS (SELECT CAST(p_partkey % 10 AS INTEGER) AS i, CAST((p_partkey // 10) % 10 AS INTEGER) AS j, CAST(p_partkey // 100 AS INTEGER) AS k, p_retailprice AS value, p_size AS label FROM part)",
-    "mv": "mv AS (SELECT p_partkey - 1 AS vertex, CAST((p_partkey - 1) % 20 AS DOUBLE) AS x, CAST((p_partkey - 1) // 20 AS DOUBLE) AS y, p_size / 50.0 AS z, CASE WHEN (p_partkey - 1) % 7 = 0 THEN 0.0 ELSE p_retailprice END AS value FROM part)",
+    "mv": "mv AS (SELECT p_partkey AS vertex, CAST(p_partkey % 20 AS DOUBLE) AS x, CAST(p_partkey // 20 AS DOUBLE) AS y, p_size / 50.0 AS z, CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE p_retailprice END AS value FROM part)",
     "mt": "mt AS (SELECT vertex AS v0, vertex + 1 AS v1, vertex + 20 AS v2 FROM mv c WHERE vertex % 20 < 19 AND EXISTS (SELECT 1 FROM mv f WHERE f.vertex = c.vertex + 21) UNION ALL SELECT vertex + 1, vertex + 21, vertex + 20 FROM mv c WHERE vertex % 20 < 19 AND EXISTS (SELECT 1 FROM mv f WHERE f.vertex = c.vertex + 21))",
     "me": "me AS (SELECT DISTINCT a, b FROM (SELECT v0 AS a, v1 AS b FROM mt UNION ALL SELECT v1, v0 FROM mt UNION ALL SELECT v0, v2 FROM mt UNION ALL SELECT v2, v0 FROM mt UNION ALL SELECT v1, v2 FROM mt UNION ALL SELECT v2, v1 FROM mt))",
     "ly": "ly AS (SELECT l_suppkey AS subject_id, l_partkey % 8 AS vertex, CAST(l_linenumber - 1 AS INTEGER) AS layer, avg(l_quantity) AS x, avg(l_discount) AS y, avg(l_tax) AS z, avg(l_extendedprice) AS value FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL)",
