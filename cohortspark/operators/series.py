@@ -90,4 +90,6 @@ def packed_features(packed: DataFrame, keys: list[str], values: str = "values",
         return pd.DataFrame([one(np.asarray(x, float)) for x in column], columns=["rmssd", "timescale", "alff", "falff"])
 
     kind = "rmssd double, timescale double, alff double, falff double"
-    return packed.select(*keys, F.pandas_udf(run, kind)(F.col(values)).alias("f")).select(*keys, "f.*")
+    out = packed.select(*keys, F.pandas_udf(run, kind)(F.col(values)).alias("f"))
+    nan = F.lit(float("nan"))  # pandas hands NaN over as null
+    return out.select(*keys, *[F.coalesce(F.col(f"f.{c}"), nan).alias(c) for c in ("rmssd", "timescale", "alff", "falff")])
