@@ -5,8 +5,9 @@ cancel out in the exclusive or, so the Hamming distance of two sketches is at mo
 difference. Jaccard >= 3/4 means a difference of at most (a + b) / 7 for sets of a and b shingles. Within a size band
 the sketch is cut into parts; two linked texts agree in all parts but that many, so, by the pigeonhole
 principle, one of any D + 1 occupied parts of a text is the same in its partner, whatever order ranks the parts, as
-long as it is one order for all texts. Ranking parts by how rare their rarest shingle is keeps parts made of common
-passages out of the join. Texts that share a part are compared exactly.
+long as it is one order for all texts. Parts that many texts of a sample hold come last in that order, which keeps common
+passages out of the join; the sample only decides the order, no link depends on it. Texts that share a part are compared
+exactly.
 
 Texts with equal shingle sets are one node; the join works on nodes, so copies cost nothing.
 Candidates of a part are first compared with one member (a star, not all pairs). Parts whose members are
@@ -29,10 +30,12 @@ from .common import key_filter, passes, saved
 from .components import components
 
 SHINGLE = 5
-FLAT = 64  # up to so many shingles every shingle is a part of its own
-SKETCH_BITS = 512
-SLOTS = 1 << 19  # counters for the rarity order: 2 MB, whatever the input
-SLICE = 1 << 13
+FLAT = 64  # bands of up to so many shingles have a part for every shingle
+BAND = 3  # bands grow by powers of 2^BAND
+SKETCH_BITS = 512  # at least; a sketch has as many bits as its set has shingles, rounded up to a power of two
+FOLD_BITS = 4096  # at most, in the join of whole parts
+SAMPLE = 8  # one text in so many decides which parts are common
+COMMON = 1 << 20  # so many parts at most are ranked as common: their filter has a fixed size
 TILE = 512
 _U = np.uint64
 _MULTIPLIERS = B.mix(np.arange(11, 11 + SHINGLE, dtype=_U)) | _U(1)
@@ -70,90 +73,118 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def dense_sketch(hashes: np.ndarray) -> bytes:
-    bits = np.bincount((hashes >> _U(20)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    size = max(SKETCH_BITS, 1 << (len(hashes) - 1).bit_length())
+    bits = np.bincount((hashes >> _U(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _half(x: np.ndarray) -> np.ndarray:
+    return x[..., : x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2 :]
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    while len(x) > FOLD_BITS // 64:
+        x = _half(x)
+    return x
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two sketches; a longer one is first folded to the other's length."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A line for each text, and at the end the task's counts of hashed shingles."""
-    counts = np.zeros(SLOTS, np.int64)
-    names = ["id", "node", "n", "sketch", "slice", "counts"]
+    """A line for each text: its node, set size and sketches."""
     for batch in batches:
-        nodes, sizes, sketches = [], [], []
+        nodes, sizes, sketches, folds = [], [], [], []
         for _at, _to, data, bounds in B.chunks(batch.column("text")):
-            each = shingles(data, bounds)
-            everything = np.concatenate(each) if each else np.zeros(0, _U)
-            counts += np.bincount((everything & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-            for h in each:
+            for h in shingles(data, bounds):
                 nodes.append(node_of(h))
                 sizes.append(len(h))
                 sketches.append(dense_sketch(h) if len(h) else None)
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-    used = [i for i in range(SLOTS // SLICE) if counts[i * SLICE : (i + 1) * SLICE].any()]
-    blobs = [counts[i * SLICE : (i + 1) * SLICE].tobytes() for i in used]
-    n = len(used)
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names)
-
-
-def _add_slices(group: pa.Table) -> pa.Table:
-    total = np.zeros(SLICE, np.int64)
-    for blob in group.column("counts").to_pylist():
-        total += np.frombuffer(blob, np.int64)
-    return pa.Table.from_arrays([group.column("slice").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+                folds.append(_folded(np.frombuffer(sketches[-1], _U)).tobytes() if len(h) else None)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(folds, pa.binary())], ["id", "node", "n", "sketch", "fold"])
 
 
-def parts(hashes: np.ndarray, ranks: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """The keys that a set emits, band by band.
+def parts(hashes: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """A set's occupied parts as keys, and the difference D to allow for, band by band.
 
-    A band holds sets of [2^b, 2^(b+1)) shingles; a set in its upper quarter may have partners in the next band and
-    emits there too. A key hashes band, part and the part's toggled bits."""
+    A band holds sets of [L, L 2^BAND) shingles; a set in its upper quarter may have partners in the next band and has
+    parts there too. A key hashes band, part and the part's toggled bits."""
     n = len(hashes)
+    band = (n.bit_length() - 1) // BAND
     out = []
-    band = n.bit_length() - 1
-    for b in (band, band + 1) if 4 * n >= 3 << (band + 1) else (band,):
-        top = (2 << b) - 1
-        difference = (n + min(4 * n // 3, top)) // 7
+    for b in (band, band + 1) if 4 * n >= 3 << (BAND * (band + 1)) else (band,):
+        top = (1 << (BAND * (b + 1))) - 1
         if top < FLAT:
-            keys, rank = B.mix(hashes + _U(b)), ranks
+            keys = B.mix(hashes + _U(b))
         else:
             place = (hashes >> _U(40)).astype(np.int64) % (top + 1)
             order = np.argsort(place, kind="stable")
             first = np.flatnonzero(np.diff(place[order], prepend=-1))
             toggled = np.bitwise_xor.reduceat(B.mix(hashes[order]), first)
             keys = B.mix(toggled + _U(b) + (place[order][first].astype(_U) << _U(32)))
-            rank = np.minimum.reduceat(ranks[order], first)
-        # occupied parts beyond the allowed difference; should a set ever have fewer parts, every one of them
-        chosen = np.lexsort((keys, rank))[: difference + 1] if len(keys) > difference + 1 else np.arange(len(keys))
-        out.append((keys[chosen], b))
+        out.append((keys, (n + min(4 * n // 3, top)) // 7))
     return out
 
 
-def _emit(counts: np.ndarray):
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Nodes with their sets, chunk by chunk; a task passes on a node once. Fewer than three shingles are only similar
+    enough to an equal set, which is the same node."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _at, _to, data, bounds in B.chunks(batch.column("text")):
+            new = []
+            for h in shingles(data, bounds):
+                node = node_of(h)
+                if len(h) < 3 or node in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(node)
+                new.append((node, h))
+            yield new
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for new in _fresh(batches):
+        keys = [k for node, h in new if node % SAMPLE == 0 for k, _ in parts(h)]
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["key"])
+
+
+def _emit(common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        rank_of = np.ceil(np.log2(counts.astype(float) + 1)).astype(np.int8)
-        floor = int(np.median(rank_of)) + 1  # ranks up to the counters' usual load say nothing about one shingle
-        rank_of = np.maximum(rank_of, floor)
-        for batch in batches:
-            for _at, _to, data, bounds in B.chunks(batch.column("text")):
-                keys, nodes, sizes = [], [], []
-                for h in shingles(data, bounds):
-                    node = node_of(h)
-                    if len(h) < 3 or node in seen:  # with fewer than three shingles only equal sets are similar enough
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    for k, _ in parts(h, rank_of[(h & _U(SLOTS - 1)).astype(np.int64)]):
-                        keys.append(k)
-                        nodes.append(np.full(len(k), node))
-                        sizes.append(np.full(len(k), len(h)))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int32))], ["key", "node", "n"])
+        for new in _fresh(batches):
+            keys, nodes, sizes = [], [], []
+            for node, h in new:
+                for k, difference in parts(h):
+                    if len(k) > difference + 1:
+                        k = k[np.lexsort((k, passes(common, k)))[: difference + 1]]
+                    keys.append(k)
+                    nodes.append(np.full(len(k), node))
+                    sizes.append(np.full(len(k), len(h)))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int32))], ["key", "node", "n"])
 
     return run
 
 
+def _common_parts(texts: DataFrame) -> np.ndarray:
+    """A filter of the parts that most sampled texts hold, at most COMMON of them and each held by three or more."""
+    counts = saved(texts.mapInArrow(_sampled, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2"))
+    least, total = 3, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("keys")).orderBy(F.desc("n")).collect():  # a row for each count
+        total += r["keys"]
+        if total > COMMON:
+            least = r["n"] + 1
+            break
+    return key_filter(counts.where(F.col("n") >= least), "key")
+
+
 def _sets(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -187,24 +218,93 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
 
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches differ in at most (a + b) / 7 bits; all others differ in more shingles than that."""
+    for batch in batches:
+        n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+        x, y = batch.column("x"), batch.column("y")
+        keep = [7 * distance(np.frombuffer(x[i].as_buffer(), _U), np.frombuffer(y[i].as_buffer(), _U)) <= n[i] for i in range(batch.num_rows)]
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+
+class Members:
+    """Rows of a table of parts: nodes with size, component and folded sketch; sketches are held by length."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.node, self.n, self.comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
+        blobs = table.column("fold").to_pylist()
+        self.words = np.array([len(x) // 8 for x in blobs], np.int64)
+        self.place, self.sketch, self.halved = np.zeros(len(blobs), np.int64), {}, {}
+        for size in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == size)
+            self.place[rows] = np.arange(len(rows))
+            self.sketch[size] = np.frombuffer(b"".join([blobs[i] for i in rows]), _U).reshape(-1, size)
+            self.halved[size // 2] = _half(self.sketch[size])
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs of places (a, b) in different components whose sizes and sketches don't rule a link out."""
+        found = [np.zeros((2, 0), np.int64)]
+        for i in a:
+            ok = b[(self.comp[b] != self.comp[i]) & (self.node[b] > self.node[i])]
+            ok = ok[4 * np.minimum(self.n[ok], self.n[i]) >= 3 * np.maximum(self.n[ok], self.n[i])]
+            if not len(ok):
+                continue
+            size = int(self.words[i])
+            own = self.sketch[size][self.place[i]]
+            for length, mine, theirs in ((size, own, self.sketch), (2 * size, own, self.halved), (size // 2, _half(own), self.sketch)):
+                some = ok[self.words[ok] == length]
+                if len(some):
+                    rows = theirs[size if length == 2 * size else length][self.place[some]]
+                    some = some[7 * np.bitwise_count(rows ^ mine).sum(1, dtype=np.int64) <= self.n[i] + self.n[some]]
+                    found.append(np.stack([np.full(len(some), self.node[i]), self.node[some]]))
+        return np.concatenate(found, 1)
+
+
 def _tiles(group: pa.Table) -> pa.Table:
-    """Pairs of a tile in different components whose sketches don't rule a link out."""
     left = group.column("left").to_numpy()
-    node, n, comp = (group.column(c).to_numpy() for c in ("node", "n", "comp"))
-    sketch = np.stack([np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()])
-    a, b = np.flatnonzero(left), np.flatnonzero(~left)
-    found = []
-    for i in a:
-        apart = np.bitwise_count(sketch[b] ^ sketch[i]).sum(1, dtype=np.int64)
-        ok = (7 * apart <= n[i] + n[b]) & (comp[b] != comp[i]) & (node[b] > node[i]) & (4 * np.minimum(n[b], n[i]) >= 3 * np.maximum(n[b], n[i]))
-        found.append(np.stack([np.full(ok.sum(), node[i]), node[b[ok]]]))
-    pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+    pairs = Members(group).pairs(np.flatnonzero(left), np.flatnonzero(~left))
     return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, by exact comparison."""
-    pairs = saved(pairs)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and node, at most TILE for each key: pairs within each key. Keys with the same members are
+    joined once."""
+    rest, seen = None, set()
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = table.column("key").to_numpy()
+        rows = Members(table)
+        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        found = [np.zeros((2, 0), np.int64)]
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            members = hash(rows.node[x:y].tobytes())
+            if members in seen:
+                continue
+            if len(seen) < 1_000_000:
+                seen.add(members)
+            place = np.arange(x, y)
+            found.append(rows.pairs(place, place))
+        all_ = np.concatenate(found, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(all_[0]), pa.array(all_[1])], ["a", "b"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        key = table.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        rest = table.slice(cut)
+        if cut:
+            yield from pairs(table.slice(0, cut))
+    if rest is not None and rest.num_rows:
+        yield from pairs(rest)
+
+
+def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough: sketches rule most others out, then sets are compared."""
+    first = pairs.join(sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), "a")
+    both = first.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
+    pairs = saved(both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_plausible, "a long, b long"))
     bits = key_filter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node")
     sets = saved(texts.mapInArrow(_sets(bits), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")))
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
@@ -219,31 +319,30 @@ def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     sets are linked. component_id is the smallest id reachable by links; a row with a null id is grouped like any
     other but never names a component."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    summary = saved(texts.mapInArrow(_summarise, "id long, node long, n long, sketch binary, slice int, counts binary"))
-    slices = summary.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
-    counts = np.zeros(SLOTS, np.int64)
-    for r in slices:
-        counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
-    rows = summary.where("slice is null").select("id", "node", "n", "sketch")
-
-    tokens = texts.mapInArrow(_emit(counts), "key long, node long, n int")
-    by_key = W.partitionBy("key")
-    shared = saved(tokens.withColumn("first", F.min(F.struct("node", "n")).over(by_key)).withColumn("last", F.max("node").over(by_key)).where(F.col("first.node") < F.col("last")).select("key", "node", "n", F.col("first.node").alias("star"), F.col("first.n").alias("star_n")).distinct())
+    rows = saved(texts.mapInArrow(_summarise, "id long, node long, n long, sketch binary, fold binary"))
+    sketches = rows.where("n > 2").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("fold").alias("fold"))
+    tokens = texts.mapInArrow(_emit(_common_parts(texts)), "key long, node long, n int")
+    by_key, by_size = W.partitionBy("key"), W.partitionBy("key").orderBy("n", "node")
+    # of rows sorted by size, one that is not near enough in size to the next on either side has no partner
+    partner = F.coalesce(4 * F.col("n") >= 3 * F.lead("n").over(by_size), F.lit(False)) | F.coalesce(4 * F.lag("n").over(by_size) >= 3 * F.col("n"), F.lit(False))
+    partnered = tokens.withColumn("partner", partner).where("partner").drop("partner")
+    shared = saved(partnered.withColumn("first", F.min(F.struct("node", "n")).over(by_key)).withColumn("last", F.max("node").over(by_key)).where(F.col("first.node") < F.col("last")).select("key", "node", "n", F.col("first.node").alias("star"), F.col("first.n").alias("star_n")).distinct())
     near = (4 * F.least("n", "star_n") >= 3 * F.greatest("n", "star_n")) & (F.col("node") > F.col("star"))
-    links = _links(shared.where(near).select(F.col("star").alias("a"), F.col("node").alias("b")).distinct(), texts)
+    links = _links(shared.where(near).select(F.col("star").alias("a"), F.col("node").alias("b")).distinct(), sketches, texts)
 
     comp = components(links)
     named = shared.join(comp, F.col("node") == F.col("id"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
     mixed = named.withColumn("lo", F.min("comp").over(by_key)).withColumn("hi", F.max("comp").over(by_key)).withColumn("m", F.count("*").over(by_key)).where("lo < hi")
-    sketches = rows.where("n > 0").groupBy("node").agg(F.any_value("sketch").alias("sketch"))
-    mixed = saved(mixed.join(sketches, "node").select("key", "node", F.col("n").cast("long").alias("n"), "comp", "sketch", F.ceil(F.col("m") / TILE).cast("int").alias("blocks")))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = mixed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lefts = spread.select("key", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), "node", "n", "comp", "sketch")
-    rights = spread.select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "node", "n", "comp", "sketch")
-    pairs = saved(lefts.unionByName(rights).groupBy("key", "i", "j").applyInArrow(_tiles, "a long, b long").distinct())
+    mixed = saved(mixed.join(sketches.select("node", "fold"), "node").select("key", "node", F.col("n").cast("long").alias("n"), "comp", "fold", "m"))
+    few = mixed.where(F.col("m") <= TILE).drop("m").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, "a long, b long")
+    many = mixed.where(F.col("m") > TILE).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lefts = spread.select("key", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), "node", "n", "comp", "fold")
+    rights = spread.select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "node", "n", "comp", "fold")
+    tiles = lefts.unionByName(rights).groupBy("key", "i", "j").applyInArrow(_tiles, "a long, b long")
+    pairs = saved(few.union(tiles).distinct())
     if not pairs.isEmpty():
-        links = links.union(_links(pairs, texts))
+        links = links.union(_links(pairs, sketches, texts))
         comp = components(links)
 
     grouped = rows.join(comp.select(F.col("id").alias("c_id"), "component"), F.col("node") == F.col("c_id"), "left").select("id", "node", "n", F.coalesce("component", "node").alias("comp"))
