@@ -215,7 +215,7 @@ def keep_identified(docs: DataFrame, model: bytes | None, *, text: str = "text",
         label = _labeller(model)
         for batch in batches:
             preds, scores = label(batch.column(text))
-            yield batch.filter(pa.array([p != "und" for p in preds], pa.bool_()) if least <= 0 else pa.array((np.array(preds) != "und") & (scores >= least)))
+            yield batch.filter(pa.array([p != "und" and x >= least for p, x in zip(preds, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
