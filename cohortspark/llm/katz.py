@@ -127,6 +127,14 @@ def unpack_counts(blob: bytes, n: int) -> np.ndarray:
     return out
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    return pa.compress(values.astype("<f8").tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, decompressed_size=8 * n, codec="zstd", asbytes=True), "<f8")
+
+
 def _check(keys: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(keys, initial=0).view(np.int64)) if len(keys) else 0
 
@@ -233,9 +241,8 @@ def _answers(rows: pa.Table, kind: int, keys: np.ndarray, bits: int, width: int)
 
 def _score_block(model: Model, bits: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = texts.sort_by("pos")
         number = texts.column("block")[0].as_py()
-        block = Block(texts.column("text"))
+        block = Block(pa.ipc.open_stream(texts.column("texts")[0].as_buffer()).read_all().column("text"))
         docs = len(block.count)
         words, _ = _answers(answers, WORD, block.words, bits, 64)
         pairs, owns = _answers(answers, PAIR, block.pairs, bits, 56)
@@ -263,9 +270,9 @@ def _score_block(model: Model, bits: int):
             cut = _cuts(keys, bits, 64)
             for part, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if b > a:
-                    rows.append((kind, part, number, pack_keys(keys[a:b]), None if one is None else one[a:b].tobytes(), None if two is None else two[a:b].tobytes(), None))
+                    rows.append((kind, part, number, pack_keys(keys[a:b]), None if one is None else squeeze(one[a:b]), None if two is None else squeeze(two[a:b]), None))
         per_doc = np.stack([block.count, add(words[block.word] > 0), add(base[block.word]), add(log[block.pair])]).astype(np.float64)
-        rows.append((3, -1, number, None, pending.astype("<i8").tobytes(), times.astype("<i8").tobytes(), per_doc.tobytes()))
+        rows.append((3, -1, number, None, pack_keys(pending.astype(_U)), pack_counts(times), per_doc.tobytes()))
         return pa.Table.from_batches([_batch(rows, _SECOND)])
 
     return run
@@ -280,8 +287,9 @@ def _alphas(group: pa.Table) -> pa.Table:
     if len(ask):
         order = sorted(give, key=lambda i: columns["block"][i])
         empty = [np.zeros(0, _U)]
-        keys, which = np.unique(np.concatenate(empty + [unpack_keys(columns["keys"][i]) for i in order]), return_inverse=True)
-        floats = lambda c: np.concatenate([np.zeros(0)] + [np.frombuffer(columns[c][i]) for i in order])
+        given_keys = [unpack_keys(columns["keys"][i]) for i in order]
+        keys, which = np.unique(np.concatenate(empty + given_keys), return_inverse=True)
+        floats = lambda c: np.concatenate([np.zeros(0)] + [unsqueeze(columns[c][i], len(k)) for i, k in zip(order, given_keys, strict=True)])
         taken = np.bincount(which, weights=floats("one"), minlength=len(keys))
         given = np.bincount(which, weights=floats("two"), minlength=len(keys))
         for i in ask:
@@ -298,21 +306,32 @@ def _finish(group: pa.Table) -> pa.Table:
     own = next(r for r in rows if r["kind"] == 3)
     alpha = np.concatenate([np.zeros(0)] + [np.frombuffer(r["one"]) for r in rows if r["kind"] == 4])
     per_doc = np.frombuffer(own["docs"]).reshape(4, -1)
-    pending, times = np.frombuffer(own["one"], "<i8"), np.frombuffer(own["two"], "<i8")
+    pending = unpack_keys(own["one"]).astype(np.int64)
+    times = unpack_counts(own["two"], len(pending))
     score = per_doc[3] + np.bincount(pending // max(1, len(alpha)), weights=times * alpha[pending % max(1, len(alpha))] if len(alpha) else None, minlength=per_doc.shape[1])
     n = per_doc.shape[1]
     return pa.Table.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n)), pa.array(per_doc[0].astype(np.int64)), pa.array(per_doc[1].astype(np.int64)), pa.array(per_doc[2]), pa.array(score)], ["block", "pos", "n_tokens", "n_known", "base_score", "score"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's texts as one compressed Arrow stream: less to shuffle than rows."""
+    for number, table in _blocks(batches):
+        sink = pa.BufferOutputStream()
+        texts = table.select(["text"]).combine_chunks()
+        with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+            out.write_table(texts)
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "texts"])
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's block and place in it."""
     for number, table in _blocks(batches):
         n = table.num_rows
-        out = table.append_column("block", pa.array(np.full(n, number))).append_column("pos", pa.array(np.arange(n)))
-        yield from out.to_batches()
+        yield from table.select(["id", "train"]).append_column("block", pa.array(np.full(n, number))).append_column("pos", pa.array(np.arange(n))).to_batches()
 
 
 def _release(frame: DataFrame) -> None:
-    """Let Spark remove the shuffle files of steps that a checkpoint has replaced."""
+    """Let Spark remove the shuffle files of steps that a checkpoint has replaced: it does when their plans are collected."""
     gc.collect()
     frame.sparkSession.sparkContext._jvm.System.gc()
 
@@ -327,13 +346,13 @@ def _run(rows: DataFrame, kind: str) -> DataFrame:
     stats = {r["kind"]: r["s"] for r in answers.where("block = -1").groupBy("kind").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(TOP + 3)]).alias("s")).collect()}
     nothing = [0] * (TOP + 3)
     model = Model(stats.get(WORD, nothing), stats.get(PAIR, nothing), facts["docs"])
-    texts = rows.select("text").mapInArrow(_numbered, "text string, block long, pos long")
+    texts = rows.select("text").mapInArrow(_packed, "block long, texts binary")
     second = saved(texts.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_score_block(model, bits), _SECOND))
     del texts
     _release(rows)
     alphas = second.where("kind in (1, 2)").groupBy("part").applyInArrow(_alphas, _SECOND)
     scores = second.where("kind = 3").unionByName(alphas).groupBy("block").applyInArrow(_finish, "block long, pos long, n_tokens long, n_known long, base_score double, score double")
-    names = rows.mapInArrow(_numbered, f"id {kind}, train boolean, text string, block long, pos long").select("id", "train", "block", "pos")
+    names = rows.select("id", "train", "text").mapInArrow(_numbered, f"id {kind}, train boolean, block long, pos long")
     return names.join(scores, ["block", "pos"]).select("id", "train", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
