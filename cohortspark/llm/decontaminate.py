@@ -20,6 +20,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
 WINDOW = 10
+FEW = 4  # partitions of tables of the benchmark's size
 
 
 def raw_words(text: Column) -> Column:
@@ -117,11 +118,11 @@ def proximity_hits(postings: DataFrame, windows: DataFrame, rows: int, slop: int
 def search(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:
     """Matches of benchmark items in documents: (id, h, item, lo, hi) phrase spans, or, given a slop, proximity pairs."""
     keyed = _keyed(docs, doc_id, text)
-    items = saved(items_of(benchmark, item_id, item_text))
-    terms = saved(items.select(F.explode("w").alias("term")).distinct())
+    items = saved(items_of(benchmark, item_id, item_text).coalesce(FEW))
+    terms = saved(items.select(F.explode("w").alias("term")).distinct().coalesce(FEW))
     counts = term_counts(keyed, terms, terms.count())
-    windows = saved(windows_of(items, counts, window))
-    wanted = saved(windows.select(F.col("t1").alias("term"), F.lit(True).alias("anchor")).union(windows.where("t2 is not null").select("t2", F.lit(False))).groupBy("term").agg(F.max("anchor").alias("anchor")))
+    windows = saved(windows_of(items, counts, window).coalesce(FEW))
+    wanted = saved(windows.select(F.col("t1").alias("term"), F.lit(True).alias("anchor")).union(windows.where("t2 is not null").select("t2", F.lit(False))).groupBy("term").agg(F.max("anchor").alias("anchor")).coalesce(FEW))
     postings = saved(build_index(keyed, wanted, wanted.count(), window - 1))
     rows = windows.count()
     return proximity_hits(postings, windows, rows, slop) if slop else phrase_hits(postings, windows, rows, window)
