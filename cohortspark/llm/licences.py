@@ -1,13 +1,17 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, runs of other characters than letters
-and digits become one blank) and looked up in a table of known licence sentences. The identifiers found, in
-text order, are matched against ordered rules: a licence is recognised where all identifiers of one of its rules
-follow one another. DataFrame functions only; every row is handled by itself, nothing is shuffled.
+A text is normalised (lower case, runs of other characters than letters and digits become one blank; line ends and
+the ends of sentences and paragraphs stay) and searched for known licence sentences. A sentence is known where it
+equals one or more whole lines or the rest of a line after a sentence's end, however it is wrapped and with whatever
+comment leaders. The identifiers found, in text order, are matched against ordered rules: a licence is recognised where
+all identifiers of one of its rules follow one another. DataFrame functions only; every row is handled by itself,
+nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,29 +49,53 @@ RULES = [
     ("MIT", ("mit-grant", "mit-condition")),
     ("Unlicense", ("public-domain",)),
 ]
+#: Sentences of the usual file headers and the title lines of Apache-2.0, and their rules: searched for besides those above.
+HEADERS = {
+    "apache-header": "licensed under the apache license version 2 0 the license",
+    "apache-asf": "the asf licenses this file to you under the apache license version 2 0 the license",
+    "apache-site": "http www apache org licenses license 2 0",
+    "apache-site-tls": "https www apache org licenses license 2 0",
+    "apache-title": "apache license",
+    "apache-version": "version 2 0 january 2004",
+}
+HEADER_RULES = [
+    ("Apache-2.0", ("apache-header",)),
+    ("Apache-2.0", ("apache-asf",)),
+    ("Apache-2.0", ("apache-file", "apache-site")),
+    ("Apache-2.0", ("apache-file", "apache-site-tls")),
+    ("Apache-2.0", ("apache-title", "apache-version")),
+]
 ENDS = r"([.!?;:])[ \t\r\n\f\x0B]+"
-OTHER = "[^a-z0-9]+"
+#: What comes before a line's text: comment leaders, bullets, numbers of a list.
+LEADER = r"(^|\n)[^\p{L}\p{N}\n]*(?:(?i:dnl|rem)[ \t]+)?(?:\(?(?i:[0-9]{1,2}|[a-z]|[ivx]{2,4})\)[ \t]+)?"
+OTHER = r"[^a-z0-9\n]+"
 
 
 def sentences(text: Column) -> Column:
+    """Pieces between line ends and sentence ends."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), ENDS, "$1\n")
     return F.filter(F.split(marked, "\n"), lambda s: s != "")
 
 
-def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), OTHER, " "))
+def normalise(text: Column) -> Column:
+    """Words with one blank between them; a line end within a paragraph is one newline, the end of a sentence or paragraph two."""
+    lines = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    marked = F.regexp_replace(F.regexp_replace(lines, LEADER, "$1"), ENDS, "$1\n\n")
+    return F.regexp_replace(F.regexp_replace(F.lower(marked), OTHER, " "), " ?\n ?", "\n")
 
 
-def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", known: dict[str, str] = SENTENCES, rules: list = RULES) -> DataFrame:
+def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", known: dict[str, str] = SENTENCES | HEADERS, rules: list = RULES + HEADER_RULES) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences, n_licences): one row for each row of docs.
 
-    sentence_ids are the identifiers found in text order, licences the recognised ones sorted, both
-    comma-joined. Null and empty texts have no sentences; a repeated row gives a repeated result."""
+    n_sentences counts the pieces between line ends and sentence ends, sentence_ids are the identifiers found in text
+    order, licences the recognised ones sorted, both comma-joined. A known sentence may span lines, not paragraphs; of
+    two that begin at one place the longer is found. Null and empty texts have no sentences; a repeated row gives a
+    repeated result."""
     table = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
-    shortest, longest = min(map(len, known.values())), max(map(len, known.values()))
-    # a sentence much longer than any known one cannot equal one; a text of blanks between words still can
-    look_up = lambda s: F.when(F.length(s) >= shortest, table[normalise(s)])
-    found = docs.select(F.col(doc_id), sentences(F.col(text)).alias("_s")).select(doc_id, F.size("_s").cast("long").alias("n_sentences"), F.filter(F.transform("_s", look_up), lambda x: x.isNotNull()).alias("_ids"))
+    longest_first = sorted(known.values(), key=len, reverse=True)
+    wrapped = "|".join("[ \n]".join(map(re.escape, s.split(" "))) for s in longest_first)
+    matches = F.regexp_extract_all(F.trim(normalise(F.col(text))), F.lit(rf"(?<![^\n])(?:{wrapped})(?![^\n])"), F.lit(0))
+    found = docs.select(doc_id, F.size(sentences(F.col(text))).cast("long").alias("n_sentences"), F.transform(matches, lambda m: table[F.translate(m, "\n", " ")]).alias("_ids"))
     found = found.withColumn("_seq", F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(",")))
     matched = F.array_distinct(F.filter(F.array(*[F.when(F.contains(F.col("_seq"), F.lit("," + ",".join(ids) + ",")), F.lit(name)) for name, ids in rules]), lambda x: x.isNotNull()))
     return found.withColumn("_l", F.array_sort(matched)).select(doc_id, "n_sentences", F.array_join("_ids", ",").alias("sentence_ids"), F.array_join("_l", ",").alias("licences"), F.size("_l").cast("long").alias("n_licences"))

@@ -314,6 +314,51 @@ def test_licences(spark, docs, nothing):
     assert licences.scan(docs).count() == docs.count() and licences.scan(nothing).count() == 0
 
 
+def test_licences_in_wrapped_texts(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+    asf = """The ASF licenses this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License."""
+    led = lambda leader, text: "\n".join(leader + line for line in text.split("\n"))
+    cases = [
+        ("MIT License\n\nCopyright (c) 2020 A. Body\n\n" + mit, "mit-title,mit-grant,mit-condition", "MIT"),
+        ("Copyright 2020 Body\n" + mit.replace("\n", "\r\n"), "mit-grant,mit-condition", "MIT"),
+        (led("# ", mit), "mit-grant,mit-condition", "MIT"),
+        (led("dnl ", mit), "mit-grant,mit-condition", "MIT"),
+        ("Copyright 2020 Body\nAll rights reserved.\n\n" + bsd, "arr,bsd-grant,bsd-source,bsd-binary", "AllRightsReserved,BSD-2-Clause"),
+        ("/*\n" + led(" * ", bsd.replace("1.", "(1)").replace("2.", "b)")) + "\n */", "bsd-grant,bsd-source,bsd-binary", "BSD-2-Clause"),
+        (led(";; ", apache), "apache-header,apache-file,apache-site", "Apache-2.0"),
+        (apache.replace("Licensed", "Also licensed").replace("http:", "https:"), "apache-file,apache-site-tls", "Apache-2.0"),
+        (led("// ", asf), "apache-asf,apache-file", "Apache-2.0"),
+        ("                Apache License\n          Version 2.0, January 2004\n", "apache-title,apache-version", "Apache-2.0"),
+        ("MIT License\nMIT License\nreleased under the\nMIT License", "mit-title,mit-title,mit-notice", "MIT"),
+        ("Released under\n\nthe MIT License. You may not use this file except in compliance\nwith the License.", "apache-file", ""),
+    ]
+    got = licences.scan(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["sentence_ids"], r["licences"]) for r in got] == [tuple(want) for _, *want in cases]
+
+
 def labelled(spark, n=400):
     r, words = random.Random(8), vocabulary(2, 200)
     rows = []
