@@ -135,6 +135,18 @@ def unsqueeze(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, decompressed_size=8 * n, codec="zstd", asbytes=True), "<f8")
 
 
+def stream(table: pa.Table) -> bytes:
+    """Rows as one compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unstream(blob: bytes | pa.Buffer) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
 def _check(keys: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(keys, initial=0).view(np.int64)) if len(keys) else 0
 
@@ -241,8 +253,11 @@ def _answers(rows: pa.Table, kind: int, keys: np.ndarray, bits: int, width: int)
 
 def _score_block(model: Model, bits: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if texts.num_rows != 1:
+            raise ChangedBlocks
         number = texts.column("block")[0].as_py()
-        block = Block(pa.ipc.open_stream(texts.column("texts")[0].as_buffer()).read_all().column("text"))
+        held = unstream(texts.column("texts")[0].as_buffer())
+        block = Block(held.column("text"))
         docs = len(block.count)
         words, _ = _answers(answers, WORD, block.words, bits, 64)
         pairs, owns = _answers(answers, PAIR, block.pairs, bits, 56)
@@ -272,7 +287,7 @@ def _score_block(model: Model, bits: int):
                 if b > a:
                     rows.append((kind, part, number, pack_keys(keys[a:b]), None if one is None else squeeze(one[a:b]), None if two is None else squeeze(two[a:b]), None))
         per_doc = np.stack([block.count, add(words[block.word] > 0), add(base[block.word]), add(log[block.pair])]).astype(np.float64)
-        rows.append((3, -1, number, None, pack_keys(pending.astype(_U)), pack_counts(times), per_doc.tobytes()))
+        rows.append((3, -1, number, stream(held.select(["id", "train"])), pack_keys(pending.astype(_U)), pack_counts(times), per_doc.tobytes()))
         return pa.Table.from_batches([_batch(rows, _SECOND)])
 
     return run
@@ -309,25 +324,14 @@ def _finish(group: pa.Table) -> pa.Table:
     pending = unpack_keys(own["one"]).astype(np.int64)
     times = unpack_counts(own["two"], len(pending))
     score = per_doc[3] + np.bincount(pending // max(1, len(alpha)), weights=times * alpha[pending % max(1, len(alpha))] if len(alpha) else None, minlength=per_doc.shape[1])
-    n = per_doc.shape[1]
-    return pa.Table.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n)), pa.array(per_doc[0].astype(np.int64)), pa.array(per_doc[1].astype(np.int64)), pa.array(per_doc[2]), pa.array(score)], ["block", "pos", "n_tokens", "n_known", "base_score", "score"])
+    held = unstream(own["keys"])
+    return pa.Table.from_arrays([held.column("id"), held.column("train"), pa.array(per_doc[0].astype(np.int64)), pa.array(per_doc[1].astype(np.int64)), pa.array(per_doc[2]), pa.array(score)], ["id", "train", "n_tokens", "n_known", "base_score", "score"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block's texts as one compressed Arrow stream: less to shuffle than rows."""
-    for number, table in _blocks(batches):
-        sink = pa.BufferOutputStream()
-        texts = table.select(["text"]).combine_chunks()
-        with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-            out.write_table(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "texts"])
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's block and place in it."""
+    """A block's rows as one compressed Arrow stream: less to shuffle than rows, and ids stay with their texts."""
     for number, table in _blocks(batches):
-        n = table.num_rows
-        yield from table.select(["id", "train"]).append_column("block", pa.array(np.full(n, number))).append_column("pos", pa.array(np.arange(n))).to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([stream(table.combine_chunks())], pa.binary())], ["block", "texts"])
 
 
 def _release(frame: DataFrame) -> None:
@@ -346,14 +350,13 @@ def _run(rows: DataFrame, kind: str) -> DataFrame:
     stats = {r["kind"]: r["s"] for r in answers.where("block = -1").groupBy("kind").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(TOP + 3)]).alias("s")).collect()}
     nothing = [0] * (TOP + 3)
     model = Model(stats.get(WORD, nothing), stats.get(PAIR, nothing), facts["docs"])
-    texts = rows.select("text").mapInArrow(_packed, "block long, texts binary")
+    texts = rows.select("id", "train", "text").mapInArrow(_packed, "block long, texts binary")
     second = saved(texts.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_score_block(model, bits), _SECOND))
     del texts
     _release(rows)
     alphas = second.where("kind in (1, 2)").groupBy("part").applyInArrow(_alphas, _SECOND)
-    scores = second.where("kind = 3").unionByName(alphas).groupBy("block").applyInArrow(_finish, "block long, pos long, n_tokens long, n_known long, base_score double, score double")
-    names = rows.select("id", "train", "text").mapInArrow(_numbered, f"id {kind}, train boolean, block long, pos long")
-    return names.join(scores, ["block", "pos"]).select("id", "train", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scores = second.where("kind = 3").unionByName(alphas).groupBy("block").applyInArrow(_finish, f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return scores.select("id", "train", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score(docs: DataFrame, train: str = "train", *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,7 +364,7 @@ def score(docs: DataFrame, train: str = "train", *, doc_id: str = "doc_id", text
     column that marks the rows to learn from (null: no).
 
     Null texts count as empty: one end token. Without training rows every word is in the class of unseen words and every
-    score is 0. Blocks follow the input's partitions and are read twice; if the input comes back in other partitions
+    score is 0. Blocks follow the input's partitions and are read twice, the second time with their ids; if the input comes back in other partitions
     (a cluster that lost executors may plan a scan differently), the run starts again on a written copy."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(train), F.lit(False)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -230,6 +230,33 @@ def test_katz_against_a_plain_model(spark, docs, nothing, monkeypatch):
     assert {r["score"] for r in katz.score(docs.withColumn("train", F.lit(False))).collect()} == {0.0}
 
 
+def test_katz_keeps_ids_with_texts_when_the_input_is_read_in_another_order(spark, tmp_path):
+    reads, words = str(tmp_path), [f"w{i}" for i in range(6)]
+
+    def turned(batches):
+        """One task's rows, begun at another row in each read."""
+        import os
+        import tempfile
+
+        rows = pa.Table.from_batches(list(batches))
+        os.close(tempfile.mkstemp(dir=reads)[0])
+        at = len(os.listdir(reads)) % rows.num_rows
+        yield from pa.concat_tables([rows.slice(at), rows.slice(0, at)]).combine_chunks().to_batches()
+
+    docs = spark.createDataFrame([(f"d{i}", " ".join(words[: 1 + i % 6] * (1 + i)), i % 3 > 0) for i in range(31)], "doc_id string, text string, train boolean").coalesce(1)
+    seen = lambda frame: sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in katz.score(frame).collect())
+    want = seen(docs)
+    assert [(i, n) for i, n, *_ in want] == sorted((f"d{i}", (1 + i % 6) * (1 + i) + 1) for i in range(31))
+    assert seen(docs.mapInArrow(turned, docs.schema)) == want
+    assert len(list(tmp_path.iterdir())) > 2
+
+
+def test_katz_notices_a_missing_block():
+    texts = pa.table({"block": pa.array([], pa.int64()), "texts": pa.array([], pa.binary())})
+    with pytest.raises(katz.ChangedBlocks):
+        katz._score_block(katz.Model([0] * 8, [0] * 8, 0), 0)(texts, pa.table({"block": [5]}))
+
+
 def test_katz_packing():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64))
     assert (katz.unpack_keys(katz.pack_keys(keys)) == keys).all()
