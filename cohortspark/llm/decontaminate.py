@@ -18,9 +18,9 @@ from .common import saved
 #: Words are runs of digits, letters A-Z of either case, and characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 WINDOW = 10
-FEW = 4  # partitions of tables of the benchmark's size
+FEW, PART_BYTES = 4, 1 << 22  # least partitions of tables of the benchmark's size, and bytes of its text for each
 
 
 def raw_words(text: Column) -> Column:
@@ -31,9 +31,21 @@ def ascii_lower(word: Column) -> Column:
     return F.translate(word, UPPER, LOWER)
 
 
-def small(frame: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a frame whose row count has been taken and is within the bound; else leave the join to Spark."""
-    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
+def small(frame: DataFrame, size: int) -> DataFrame:
+    """Broadcast a frame whose bytes have been taken and are within the bound; else leave the join to Spark."""
+    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame
+
+
+def bytes_of(frame: DataFrame) -> int:
+    """Bytes of a frame's words, with what rows and cells of arrays take besides."""
+    text, words = [c for c, kind in frame.dtypes if kind == "string"], [c for c, kind in frame.dtypes if kind == "array<string>"]
+    each = [F.coalesce(F.octet_length(c), F.lit(0)) for c in text] + [F.octet_length(F.array_join(c, "")) + 16 * F.size(c) for c in words]
+    return frame.agg(F.sum(sum(each, F.lit(64)).cast("long"))).first()[0] or 0
+
+
+def partitions(size: int) -> int:
+    """How many partitions tables of a benchmark of so many bytes have."""
+    return max(FEW, -(-size // PART_BYTES))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -46,35 +58,48 @@ def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), raw_words(ascii_lower(F.col(text))).alias("w")).where(F.size("w") > 0).distinct()
 
 
-def _with_terms(tokens: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
+def _with_terms(tokens: DataFrame, terms: DataFrame, size: int) -> DataFrame:
     """Tokens (raw spelling) that are one of the terms, in A-Z lower case. Full lower case, which is cheap, finds
     candidates; only they are compared letter by letter."""
-    joined = tokens.join(small(terms.withColumn("full", F.lower("term")), rows), F.lower("raw") == F.col("full"))
+    joined = tokens.join(small(terms.withColumn("full", F.lower("term")), size), F.lower("raw") == F.col("full"))
     return joined.where((F.col("raw") == F.col("term")) | (ascii_lower(F.col("raw")) == F.col("term"))).drop("raw", "full")
 
 
 def windows_of(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(item, w, q1, q2, t1, t2): positions and terms of the two rarest words of every window; q2 is null in one-word items."""
-    places = items.select("item", "w", F.posexplode("w").alias("q", "term")).join(counts, "term", "left")
-    by_item = places.groupBy("item", "w").agg(F.array_sort(F.collect_list(F.struct("q", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
+    """(item, n, v, q1, q2, t1, t2): positions and terms of the two rarest words of every window, the words v of the
+    item from window - 1 before to window - 1 after q1, and the item's number n of words; q2 is null in one-word items."""
+    reach = window - 1
+    key = F.sha2(F.array_join("w", " "), 256)  # words hold no blanks
+    places = items.select("item", key.alias("key"), F.posexplode("w").alias("q", "term")).join(counts, "term", "left")
+    by_item = places.groupBy("item", "key").agg(F.array_sort(F.collect_list(F.struct("q", "term", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("c") - window, F.lit(0)))
     rare = F.transform(starts, lambda s: F.array_sort(F.transform(F.slice("c", s + 1, F.lit(window)), lambda x: F.struct(x["n"].alias("n"), x["q"].alias("q")))))
-    each = by_item.select("item", "w", F.explode(rare).alias("r")).select("item", "w", F.get("r", F.lit(0))["q"].alias("q1"), F.get("r", F.lit(1))["q"].alias("q2"))
-    return each.distinct().select("*", F.get("w", F.col("q1")).alias("t1"), F.get("w", F.col("q2")).alias("t2"))
+
+    def one(r: Column) -> Column:
+        q1, q2 = F.get(r, F.lit(0))["q"], F.get(r, F.lit(1))["q"]
+        first = F.greatest(q1 - reach, F.lit(0))
+        v = F.transform(F.slice("c", first + 1, q1 - first + window), lambda x: x["term"])
+        return F.struct(v.alias("v"), q1.alias("q1"), q2.alias("q2"), F.get("c", q1)["term"].alias("t1"), F.get("c", q2)["term"].alias("t2"))
+
+    return by_item.select("item", F.size("c").alias("n"), F.explode(F.transform(rare, one)).alias("r")).select("item", "n", "r.*").distinct()
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, rows: int, text: str = "text") -> DataFrame:
+def term_counts(docs: DataFrame, terms: DataFrame, size: int, text: str = "text") -> DataFrame:
     """(term, n): how often each term occurs in the whole corpus."""
-    return _with_terms(docs.select(F.explode(raw_words(F.col(text))).alias("raw")), terms, rows).groupBy("term").agg(F.count("*").alias("n"))
+    return _with_terms(docs.select(F.explode(raw_words(F.col(text))).alias("raw")), terms, size).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, rows: int, around: int) -> DataFrame:
+def build_index(docs: DataFrame, terms: DataFrame, size: int, around: int) -> DataFrame:
     """Postings (term, id, h, pos, ctx) of `terms`(term, anchor); ctx holds up to `around` words on either side of
     an anchor term's posting. docs has id, h and text."""
     tokens = docs.select("id", "h", raw_words(F.col("text")).alias("w")).select("id", "h", "w", F.posexplode("w").alias("pos", "raw"))
-    found = _with_terms(tokens, terms, rows)
     first = F.greatest(F.col("pos") - around, F.lit(0))
-    ctx = F.split(ascii_lower(F.array_join(F.slice("w", first + 1, F.col("pos") - first + around + 1), " ")), " ")
+    near = F.slice("w", first + 1, F.col("pos") - first + around + 1)
+    if size > BROADCAST_BYTES:  # tokens are shuffled, so they are cut from their document first
+        tokens = tokens.select("id", "h", "pos", "raw", near.alias("near"))
+        near = F.col("near")
+    found = _with_terms(tokens, terms, size)
+    ctx = F.split(ascii_lower(F.array_join(near, " ")), " ")
     return found.select("term", "id", "h", "pos", F.when(F.col("anchor"), ctx).alias("ctx"))
 
 
@@ -84,21 +109,21 @@ def _run_lengths(ctx: Column, at: Column, w: Column, q: Column, reach: int) -> t
     return F.length(F.regexp_extract(F.substring(bits, 1, reach), "1*$", 0)), F.length(F.regexp_extract(F.substring(bits, reach + 2, reach), "^1*", 0))
 
 
-def phrase_hits(postings: DataFrame, windows: DataFrame, rows: int, window: int) -> DataFrame:
+def phrase_hits(postings: DataFrame, windows: DataFrame, size: int, window: int) -> DataFrame:
     """(id, h, item, lo, hi): spans of document words covered by occurrences of windows."""
     reach = window - 1
-    anchors = windows.select("item", "w", "q1", "t1").distinct()
-    pairs = windows.select("item", "w", "q1", "q2", "t2").distinct()
-    first = postings.where("ctx is not null").alias("p").join(small(anchors, rows), F.col("p.term") == F.col("t1")).select("id", "h", "item", "w", "q1", F.col("pos").alias("pos1"), "ctx")
+    anchors = windows.select("item", "n", "v", "q1", "t1").distinct()
+    pairs = windows.select("item", "n", "v", "q1", "q2", "t2").distinct()
+    first = postings.where("ctx is not null").alias("p").join(small(anchors, size), F.col("p.term") == F.col("t1")).select("id", "h", "item", "n", "v", "q1", F.col("pos").alias("pos1"), "ctx")
     #: the list of the second rarest term, shifted by the distance of the two in the item
-    wanted = first.select("id", "h", "item", "w", "q1", "pos1").join(small(pairs, rows), ["item", "w", "q1"]).withColumn("pos2", F.col("pos1") + F.col("q2") - F.col("q1"))
+    wanted = first.select("id", "h", "item", "n", "v", "q1", "pos1").join(small(pairs, size), ["item", "n", "v", "q1"]).withColumn("pos2", F.col("pos1") + F.col("q2") - F.col("q1"))
     second = postings.select(F.col("id").alias("i2"), F.col("h").alias("h2"), F.col("pos").alias("p2"), F.col("term").alias("s2"))
     both = wanted.where("q2 is not null").join(second, F.expr("id <=> i2 and h = h2 and pos2 = p2 and t2 = s2"), "left_semi")
-    kept = both.unionByName(wanted.where("q2 is null")).select("id", "h", "item", "w", "q1", "pos1").distinct()
+    kept = both.unionByName(wanted.where("q2 is null")).select("id", "h", "item", "n", "v", "q1", "pos1").distinct()
     kept = kept.select(*[F.col(c).alias(f"k_{c}") for c in kept.columns])
-    candidates = first.join(kept, F.expr("id <=> k_id and h = k_h and item = k_item and w = k_w and q1 = k_q1 and pos1 = k_pos1"), "left_semi")
-    left, right = _run_lengths(F.col("ctx"), F.least("pos1", F.lit(reach)), F.col("w"), F.col("q1"), reach)
-    run = candidates.withColumn("l", left).withColumn("r", right).withColumn("n", F.size("w"))
+    candidates = first.join(kept, F.expr("id <=> k_id and h = k_h and item = k_item and n = k_n and v = k_v and q1 = k_q1 and pos1 = k_pos1"), "left_semi")
+    left, right = _run_lengths(F.col("ctx"), F.least("pos1", F.lit(reach)), F.col("v"), F.least("q1", F.lit(reach)), reach)
+    run = candidates.withColumn("l", left).withColumn("r", right)
     full = (F.col("n") >= window) & (F.col("l") + F.col("r") + 1 >= window) | (F.col("n") < window) & (F.col("l") >= F.col("q1")) & (F.col("r") >= F.col("n") - 1 - F.col("q1"))
     short = F.col("n") < window
     lo = F.col("pos1") - F.when(short, F.col("q1")).otherwise(F.col("l"))
@@ -106,11 +131,11 @@ def phrase_hits(postings: DataFrame, windows: DataFrame, rows: int, window: int)
     return run.where(full).select("id", "h", "item", lo.alias("lo"), hi.alias("hi"))
 
 
-def proximity_hits(postings: DataFrame, windows: DataFrame, rows: int, slop: int) -> DataFrame:
+def proximity_hits(postings: DataFrame, windows: DataFrame, size: int, slop: int) -> DataFrame:
     """(id, h, item, pos1, pos2): occurrences of a window's two rarest terms at most `slop` words apart, in either
     order. Positions are bucketed by `slop`, so the join is an equality join on neighbouring buckets."""
     pairs = windows.where("q2 is not null").select("item", "t1", "t2").distinct()
-    first = postings.alias("p").join(small(pairs, rows), F.col("p.term") == F.col("t1")).select("id", "h", "item", "t2", F.col("pos").alias("pos1")).withColumn("b", F.explode(F.expr(f"array(int(pos1 / {slop}) - 1, int(pos1 / {slop}), int(pos1 / {slop}) + 1)")))
+    first = postings.alias("p").join(small(pairs, size), F.col("p.term") == F.col("t1")).select("id", "h", "item", "t2", F.col("pos").alias("pos1")).withColumn("b", F.explode(F.expr(f"array(int(pos1 / {slop}) - 1, int(pos1 / {slop}), int(pos1 / {slop}) + 1)")))
     second = postings.select(F.col("id").alias("i2"), F.col("h").alias("h2"), F.col("term").alias("s2"), F.col("pos").alias("pos2")).withColumn("b2", F.expr(f"int(pos2 / {slop})"))
     return first.join(second, F.expr(f"id <=> i2 and h = h2 and t2 = s2 and b = b2 and abs(pos1 - pos2) <= {slop} and pos1 <> pos2")).select("id", "h", "item", "pos1", "pos2").distinct()
 
@@ -118,14 +143,15 @@ def proximity_hits(postings: DataFrame, windows: DataFrame, rows: int, slop: int
 def search(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:
     """Matches of benchmark items in documents: (id, h, item, lo, hi) phrase spans, or, given a slop, proximity pairs."""
     keyed = _keyed(docs, doc_id, text)
-    items = saved(items_of(benchmark, item_id, item_text).coalesce(FEW))
-    terms = saved(items.select(F.explode("w").alias("term")).distinct().coalesce(FEW))
-    counts = term_counts(keyed, terms, terms.count())
-    windows = saved(windows_of(items, counts, window).coalesce(FEW))
-    wanted = saved(windows.select(F.col("t1").alias("term"), F.lit(True).alias("anchor")).union(windows.where("t2 is not null").select("t2", F.lit(False))).groupBy("term").agg(F.max("anchor").alias("anchor")).coalesce(FEW))
-    postings = saved(build_index(keyed, wanted, wanted.count(), window - 1))
-    rows = windows.count()
-    return proximity_hits(postings, windows, rows, slop) if slop else phrase_hits(postings, windows, rows, window)
+    few = partitions(benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0)
+    items = saved(items_of(benchmark, item_id, item_text).coalesce(few))
+    terms = saved(items.select(F.explode("w").alias("term")).distinct().coalesce(few))
+    counts = term_counts(keyed, terms, bytes_of(terms))
+    windows = saved(windows_of(items, counts, window).coalesce(few))
+    wanted = saved(windows.select(F.col("t1").alias("term"), F.lit(True).alias("anchor")).union(windows.where("t2 is not null").select("t2", F.lit(False))).groupBy("term").agg(F.max("anchor").alias("anchor")).coalesce(few))
+    postings = saved(build_index(keyed, wanted, bytes_of(wanted), window - 1))
+    size = bytes_of(windows)
+    return proximity_hits(postings, windows, size, slop) if slop else phrase_hits(postings, windows, size, window)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:

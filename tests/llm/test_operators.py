@@ -194,6 +194,35 @@ def test_decontamination_against_all_windows(spark, docs, nothing):
     assert [tuple(r)[0] for r in near.collect()] == [1]
 
 
+def test_decontamination_of_long_items_and_large_benchmarks(spark, monkeypatch):
+    r = random.Random(7)
+    words = [f"t{i}" for i in range(400)]
+    long = [r.choice(words) for _ in range(1500)]
+    bench = spark.createDataFrame([("long", " ".join(long)), ("long", " ".join(long[:700])), ("short", "t1 t2 t3"), ("one", "t9")], "item_id string, text string")
+    texts = [long[40:49], long[40:50], ["x", *long[1480:], "y"], ["t1", "t2", "t3"], ["t1", "t2"], ["t9"], [*long[690:704]], long[:5] + ["x"] + long[6:12]]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = decontaminate.items_of(bench, "item_id", "text")
+    counts = items.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    windows = decontaminate.windows_of(items, counts, 10)
+    arrays = [c for c, kind in windows.dtypes if kind.startswith("array")]
+    assert windows.agg(F.max(F.greatest(*[F.size(c) for c in arrays], F.lit(0)))).first()[0] <= 19
+
+    def spans(t, name, item):
+        k = min(10, len(item))
+        grams = {tuple(item[i : i + k]) for i in range(len(item) - k + 1)}
+        return {(name, j) for i in range(len(t) - k + 1) if tuple(t[i : i + k]) in grams for j in range(i, i + k)}
+
+    want = []
+    for i, t in enumerate(texts):
+        hit = spans(t, "long", long) | spans(t, "short", ["t1", "t2", "t3"]) | spans(t, "one", ["t9"])
+        want.append((i, len({j for _, j in hit}), ",".join(sorted({name for name, _ in hit}))))
+    found = lambda: [tuple(x) for x in decontaminate.decontaminate(rows, bench).select("doc_id", "n_hit", F.array_join("items", ",")).orderBy("doc_id").collect()]
+    assert found() == want and want[1][1] == 10
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert found() == want
+    assert decontaminate.partitions(0) == 4 and decontaminate.partitions(1 << 30) > 100
+
+
 def test_katz_against_a_plain_model(spark, docs, nothing, monkeypatch):
     monkeypatch.setattr(katz, "BLOCK_BYTES", 3000)
     marked = docs.withColumn("train", F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
