@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -36,15 +36,21 @@ BYTE_CODES = mix(np.arange(1, 257, dtype=_U) * _U(_P))
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("p", ())) < n:
-        m = max(n, CHUNK_BYTES + 1)
-        for name, base in (("p", _P), ("i", _P_INV)):
-            table = np.full(m, base, _U)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
+    """Powers of the base and of its inverse. Tables for ordinary chunks are kept, those for a longer text are not."""
+    kept = 2 * CHUNK_BYTES + 1024
+    if n > kept:
+        return tuple(_power_table(n, base) for base in (_P, _P_INV))
+    if not _powers:
+        _powers.update({name: _power_table(kept, base) for name, base in (("p", _P), ("i", _P_INV))})
     return _powers["p"], _powers["i"]
 
 
+def _power_table(n: int, base: int) -> np.ndarray:
+    table = np.full(n, base, _U)
+    table[0] = 1
+    return np.multiply.accumulate(table, out=table)
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash; span_hash() reads any span's hash off them."""
     power, _ = _power_tables(len(data) + 1)
@@ -134,6 +140,20 @@ def words(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> tuple[np.
     return start, end, np.repeat(np.arange(len(bounds) - 1), per_row)
 
 
+class Recent:
+    """Which keys are new: a direct-mapped memory of fixed size. It forgets, so a key may count as new again."""
+
+    def __init__(self, bits: int = 18) -> None:
+        self.held, self.mask = np.zeros(1 << bits, np.int64), np.int64((1 << bits) - 1)
+
+    def new(self, keys: np.ndarray) -> np.ndarray:
+        """Places of distinct keys (not 0) that are not held; they are held from now on."""
+        slot = keys & self.mask
+        fresh = np.flatnonzero(self.held[slot] != keys)
+        self.held[slot[fresh]] = keys[fresh]
+        return fresh
+
+
 class Keys:
     """Membership and index of 64-bit keys in a fixed sorted set, with a bitmap before the search."""
 

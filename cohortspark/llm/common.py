@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -30,7 +32,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(folder or "/tmp/checkpoints")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    context.setCheckpointDir(folder)
 
 
 def saved(frame: DataFrame, eager: bool = True) -> DataFrame:
@@ -39,6 +45,28 @@ def saved(frame: DataFrame, eager: bool = True) -> DataFrame:
     return frame.checkpoint(eager)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """The frame with its lineage cut, as a Parquet table in the shared checkpoint folder: later reads take the columns they need."""
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+HOT_SHARE = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Join on a key of which right has one row each, with the number of its rows in left as `weight`.
+
+    Keys that hold over 1 / HOT_SHARE of left's `total` rows are fewer than HOT_SHARE: they are broadcast, so no task
+    gets a hot key's rows; all others are joined by a shuffle. The weight column goes. A null key joins nothing."""
+    hot = F.broadcast(right.where(F.col(weight) * HOT_SHARE > total).drop(weight))
+    rest = right.where(F.col(weight) * HOT_SHARE <= total).drop(weight)
+    return left.join(hot, on).unionByName(left.join(hot.select(on), on, "left_anti").join(rest, on, how))
+
+
 FILTER_BITS = 24
 
 

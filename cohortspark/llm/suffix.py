@@ -20,16 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import bytesops as B
-from .common import key_filter, passes, saved
+from .common import join_hot, key_filter, passes, saved
 
 LENGTH, GRAM = 400, 64
 REACH = LENGTH - GRAM + 1  # offsets of the anchor in a window
 CELL = -(-REACH // 2)
-PIECE = 1 << 20
-INDEX_SPANS = 1000  # spans of one core in one index
-INDEX_BYTES = 1 << 20
+PIECE = 1 << 18
+PLACE_BITS = 20  # a piece has fewer than 2^PLACE_BITS places
+INDEX_SPANS = 500  # spans of one core in one index
+INDEX_BYTES = 1 << 18
+STRETCH = 1 << 16  # cuts are merged by stretches of so many bytes
 BUCKET_BYTES = 1 << 21
 _U = np.uint64
 
@@ -52,19 +55,18 @@ def items(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
         return {k: np.zeros(0, np.int64) for k in ("row", "p", "omin", "omax", "cell")} | {k: np.zeros(0, _U) for k in ("core", "sig")}
     prefix = B.prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
-    gram = B.span_hash(prefix, at, at + GRAM)
-    bits = _U(22)  # a piece has fewer than 2^22 places
-    ranked = (gram >> bits << bits) | at.astype(_U)
-    n = len(ranked)
+    bits, n = _U(PLACE_BITS), len(at)
     padded = np.full(-(-n // REACH) * REACH, np.iinfo(np.uint64).max, _U)
-    padded[:n] = ranked
+    padded[:n] = (B.span_hash(prefix, at, at + GRAM) >> bits << bits) | at.astype(_U)
     blocks = padded.reshape(-1, REACH)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    del padded, blocks, at
     first = np.repeat(bounds[:-1] - (np.cumsum(starts) - starts), starts)
     s = first + np.arange(starts.sum())
     row = np.repeat(np.arange(len(starts)), starts)
-    anchor = (np.minimum(behind[s], ahead[s + REACH - 1]) & _U((1 << 22) - 1)).astype(np.int64)
+    anchor = (np.minimum(behind[s], ahead[s + REACH - 1]) & _U((1 << PLACE_BITS) - 1)).astype(np.int64)
+    del ahead, behind, first
     cell = (anchor - s) // CELL
     new = np.ones(len(s), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])
@@ -103,15 +105,14 @@ def _items(bits: np.ndarray):
 
 def _spans(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        recent = B.Recent()
         for batch in batches:
             for data, bounds, _row, _base in _pieces(batch.column("text")):
                 x = items(data, bounds)
-                sigs, first = np.unique(x["sig"], return_index=True)
-                first = first[passes(bits, sigs)]
-                got = [(s, data[p - high : p - low + LENGTH].tobytes()) for s, p, low, high in zip(x["sig"][first].view(np.int64).tolist(), x["p"][first].tolist(), x["omin"][first].tolist(), x["omax"][first].tolist(), strict=True) if s not in seen]
-                if len(seen) < 1_000_000:
-                    seen.update(s for s, _ in got)
+                sigs, first = np.unique(x["sig"].view(np.int64), return_index=True)
+                wanted = passes(bits, sigs)
+                first = first[wanted][recent.new(sigs[wanted])]
+                got = [(s, data[p - high : p - low + LENGTH].tobytes()) for s, p, low, high in zip(x["sig"][first].view(np.int64).tolist(), x["p"][first].tolist(), x["omin"][first].tolist(), x["omax"][first].tolist(), strict=True)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int64()), pa.array([c for _, c in got], pa.binary())], ["sig", "span"])
 
@@ -243,7 +244,7 @@ def repeated_offsets(found: DataFrame, texts: DataFrame) -> DataFrame:
     sigs = saved(found.groupBy("core", "cell", "sig", "omin", "omax").agg(F.count("*").alias("n")))
     cores = sigs.groupBy("core").agg(F.count("*").alias("spans"), F.min("n").alias("least"))
     settled = [sigs.where("n > 1").select("sig", F.col("omin").alias("low"), F.col("omax").alias("high"))]
-    mixed = saved(sigs.join(cores.where("spans > 1 and least = 1"), "core"))
+    mixed = saved(join_hot(sigs, cores.where("spans > 1 and least = 1").withColumn("rows", F.col("spans")), "core", "rows", sigs.count()))
     text_of = texts.mapInArrow(_spans(key_filter(mixed, "sig")), "sig long, span binary").groupBy("sig").agg(F.any_value("span").alias("span"))
     work = mixed.join(text_of, "sig").select("core", F.col("sig").alias("sub"), F.when(F.col("n") == 1, F.col("sig")).alias("parent"), "omin", "omax", (F.col("cell") * CELL).alias("lo"), (F.least(F.col("cell") * CELL + CELL, F.lit(REACH)) - 1).alias("hi"), "span", "spans")
     work = saved(work)
@@ -261,13 +262,23 @@ def repeated_offsets(found: DataFrame, texts: DataFrame) -> DataFrame:
         counted = saved(halves.groupBy("core", "sub", "omin", "omax", "lo", "hi").agg(F.count("*").alias("n"), F.count("parent").alias("open"), F.min("parent").alias("parent"), F.any_value("span").alias("span")))
         settled.append(halves.where("parent is not null").join(counted.where("n > 1").select("sub"), "sub").select(F.col("parent").alias("sig"), F.col("omin").alias("low"), F.col("omax").alias("high")))
         per_core = counted.groupBy("core").agg(F.count("*").alias("spans"), F.min("n").alias("least")).where("spans > 1 and least = 1")
-        work = saved(counted.join(per_core, "core").select("core", "sub", F.when(F.col("n") == 1, F.col("parent")).alias("parent"), "omin", "omax", "lo", "hi", "span", "spans"))
+        work = saved(join_hot(counted, per_core.withColumn("rows", F.col("spans")), "core", "rows", counted.count()).select("core", "sub", F.when(F.col("n") == 1, F.col("parent")).alias("parent"), "omin", "omax", "lo", "hi", "span", "spans"))
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)
     return out
 
 
+def merged_cuts(cuts: DataFrame) -> DataFrame:
+    """(id, h, cuts) from (id, h, lo, hi): for each text its cuts, those that overlap within a stretch merged, so that a
+    text of n bytes has at most n / LENGTH of them and one for each stretch, however many items it has."""
+    by_text = W.partitionBy("id", "h", "stretch").orderBy("lo")
+    apart = F.col("lo") > F.coalesce(F.max("hi").over(by_text.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
+    runs = cuts.withColumn("stretch", F.floor(F.col("lo") / STRETCH)).withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_text.rowsBetween(W.unboundedPreceding, 0)))
+    merged = runs.groupBy("id", "h", "stretch", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return merged.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, spans, digests, kept = [], [], [], []
@@ -309,8 +320,8 @@ def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     bits = key_filter(shared, "core")
     found = saved(texts.mapInArrow(_items(bits), f"id {kind}, h long, p long, omin int, omax int, cell int, core long, sig long"))
     offsets = repeated_offsets(found, texts)
-    cuts = found.select("id", "h", "p", "sig").join(offsets, "sig").select("id", "h", F.struct((F.col("p") - F.col("high")).alias("lo"), (F.col("p") - F.col("low") + LENGTH).alias("hi")).alias("cut"))
-    per_doc = cuts.groupBy("id", "h").agg(F.collect_set("cut").alias("cuts"))
+    cuts = found.select("id", "h", "p", "sig").join(offsets, "sig").select("id", "h", (F.col("p") - F.col("high")).alias("lo"), (F.col("p") - F.col("low") + LENGTH).alias("hi"))
+    per_doc = merged_cuts(cuts)
     joined = whole.join(per_doc.select(F.col("id").alias("c_id"), F.col("h").alias("c_h"), "cuts"), F.expr("id <=> c_id and h = c_h"), "left").select("id", "h", "text", "cuts", "extra")
     out = joined.mapInArrow(_cut, f"id {kind}, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, extra {joined.schema['extra'].dataType.simpleString()}")
     return out.withColumnsRenamed({"id": doc_id, "h": "_h"})
