@@ -57,13 +57,14 @@ def written(frame: DataFrame) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: str, weight: str, total: int, how: str = "inner", fits: str = "true") -> DataFrame:
     """Join on a key of which right has one row each, with the number of its rows in left as `weight`.
 
-    Keys that hold over 1 / HOT_SHARE of left's `total` rows are fewer than HOT_SHARE: they are broadcast, so no task
-    gets a hot key's rows; all others are joined by a shuffle. The weight column goes. A null key joins nothing."""
-    hot = F.broadcast(right.where(F.col(weight) * HOT_SHARE > total).drop(weight))
-    rest = right.where(F.col(weight) * HOT_SHARE <= total).drop(weight)
+    Keys that hold over 1 / HOT_SHARE of left's `total` rows are fewer than HOT_SHARE: those whose row `fits` (rows with
+    columns of any length need a bound of their bytes) are broadcast, so no task gets a hot key's rows; all others
+    are joined by a shuffle. The weight column goes. A null key joins nothing."""
+    is_hot = (F.col(weight) * HOT_SHARE > total) & F.expr(fits)
+    hot, rest = F.broadcast(right.where(is_hot).drop(weight)), right.where(~is_hot).drop(weight)
     return left.join(hot, on).unionByName(left.join(hot.select(on), on, "left_anti").join(rest, on, how))
 
 

@@ -9,10 +9,12 @@ long as it is one order for all texts. Parts that many texts of a sample hold co
 passages out of the join; the sample only decides the order, no link depends on it. Texts that share a part are compared
 exactly.
 
-Texts with equal shingle sets are one node; the join works on nodes, so copies cost nothing.
-Candidates of a part are first compared with one member (a star, not all pairs). Parts whose members are
-then still in different components are joined in full, in tiles, where short dense sketches reject
-nearly all pairs before any exact comparison.
+Texts with equal shingle sets are one node; the join works on nodes, so copies cost nothing. Sets are written once,
+and all later steps read them there.
+Candidates of a part are first compared with one member (a star, not all pairs). In parts whose members are
+then still in different components, those outside the part's largest component are compared with all, in tiles, where
+short dense sketches reject nearly all pairs before any exact comparison. Parts that are held by more nodes than a task
+should take are dealt out by node, keys that many rows share are joined by broadcast.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import bytesops as B
-from .common import key_filter, passes, saved
+from .common import join_hot, key_filter, passes, saved, written
 from .components import components
 
 SHINGLE = 5
@@ -37,6 +39,10 @@ FOLD_BITS = 4096  # at most, in the join of whole parts
 SAMPLE = 8  # one text in so many decides which parts are common
 COMMON = 1 << 20  # so many parts at most are ranked as common: their filter has a fixed size
 TILE = 512
+HOT_ROWS = 1 << 22  # a part that more nodes hold, by the sample, is dealt out by node
+SALTS = 64
+GATHER = 1 << 17  # words of sketches compared at once
+FITS = 1 << 15  # bytes of a set or sketch that may be broadcast for a hot key
 _U = np.uint64
 _MULTIPLIERS = B.mix(np.arange(11, 11 + SHINGLE, dtype=_U)) | _U(1)
 
@@ -98,16 +104,19 @@ def distance(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A line for each text: its node, set size and sketches."""
+    """A line for each text: its node and set size; where a task meets a node first, also the set and its sketches."""
+    recent = B.Recent()
     for batch in batches:
-        nodes, sizes, sketches, folds = [], [], [], []
-        for _at, _to, data, bounds in B.chunks(batch.column("text")):
-            for h in shingles(data, bounds):
-                nodes.append(node_of(h))
-                sizes.append(len(h))
-                sketches.append(dense_sketch(h) if len(h) else None)
-                folds.append(_folded(np.frombuffer(sketches[-1], _U)).tobytes() if len(h) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(folds, pa.binary())], ["id", "node", "n", "sketch", "fold"])
+        for at, to, data, bounds in B.chunks(batch.column("text")):
+            sets = shingles(data, bounds)
+            nodes = np.array([node_of(h) for h in sets], np.int64)
+            distinct, first = np.unique(nodes, return_index=True)
+            new = np.zeros(len(nodes), bool)
+            new[first[recent.new(distinct)]] = True
+            sketches = [dense_sketch(h) if fresh and len(h) > 2 else None for h, fresh in zip(sets, new, strict=True)]
+            folds = [x and _folded(np.frombuffer(x, _U)).tobytes() for x in sketches]
+            blobs = [x and h.tobytes() for h, x in zip(sets, sketches, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array(folds, pa.binary()), pa.array(blobs, pa.binary())], ["id", "node", "n", "sketch", "fold", "hashes"])
 
 
 def parts(hashes: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -132,75 +141,55 @@ def parts(hashes: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Nodes with their sets, chunk by chunk; a task passes on a node once. Fewer than three shingles are only similar
-    enough to an equal set, which is the same node."""
-    seen: set[int] = set()
-    for batch in batches:
-        for _at, _to, data, bounds in B.chunks(batch.column("text")):
-            new = []
-            for h in shingles(data, bounds):
-                node = node_of(h)
-                if len(h) < 3 or node in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(node)
-                new.append((node, h))
-            yield new
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    data, bounds = B.string_bytes(batch.column("hashes"))
+    hashes = data.view(_U)
+    return [hashes[a:b] for a, b in zip(bounds[:-1] // 8, bounds[1:] // 8, strict=True)]
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for new in _fresh(batches):
-        keys = [k for node, h in new if node % SAMPLE == 0 for k, _ in parts(h)]
+    for batch in batches:
+        keys = [k for h in _sets(batch) for k, _ in parts(h)]
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["key"])
 
 
-def _emit(common: np.ndarray):
+def _emit(common: np.ndarray, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for new in _fresh(batches):
-            keys, nodes, sizes = [], [], []
-            for node, h in new:
-                for k, difference in parts(h):
-                    if len(k) > difference + 1:
-                        k = k[np.lexsort((k, passes(common, k)))[: difference + 1]]
-                    keys.append(k)
-                    nodes.append(np.full(len(k), node))
-                    sizes.append(np.full(len(k), len(h)))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int32))], ["key", "node", "n"])
+        for batch in batches:
+            sets, nodes = _sets(batch), batch.column("node").to_numpy()
+            for at in range(0, len(sets), 100):
+                keys, which = [], []
+                for i in range(at, min(at + 100, len(sets))):
+                    for k, difference in parts(sets[i]):
+                        if len(k) > difference + 1:
+                            k = k[np.lexsort((k, passes(common, k)))[: difference + 1]]
+                        keys.append(k.view(np.int64))
+                        which.append(np.full(len(k), i))
+                key, which = np.concatenate(keys), np.concatenate(which)
+                salt = np.where(np.isin(key, hot), 1 + nodes[which] % SALTS, 0).astype(np.int32)
+                sizes = np.array([len(h) for h in sets], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[which]), pa.array(sizes[which]), pa.array(salt)], ["key", "node", "n", "salt"])
 
     return run
 
 
-def _common_parts(texts: DataFrame) -> np.ndarray:
-    """A filter of the parts that most sampled texts hold, at most COMMON of them and each held by three or more."""
-    counts = saved(texts.mapInArrow(_sampled, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2"))
-    least, total = 3, 0
-    for r in counts.groupBy("n").agg(F.count("*").alias("keys")).orderBy(F.desc("n")).collect():  # a row for each count
-        total += r["keys"]
-        if total > COMMON:
-            least = r["n"] + 1
-            break
-    return key_filter(counts.where(F.col("n") >= least), "key")
+def _common_parts(sets: DataFrame, hot_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A filter of the parts that most sampled nodes hold, at most COMMON of them and each held by three or more; and the
+    hot parts, which are at most as many as hot_rows goes into all rows of parts."""
+    sampled = sets.where(F.col("node") % SAMPLE == 0).mapInArrow(_sampled, "key long")
+    counts = saved(sampled.groupBy("key").agg(F.count("*").alias("n")).where("n > 2"))
+    total = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    by_count = counts.groupBy("n").agg(F.count("*").alias("keys")).withColumn("total", F.sum("keys").over(total))  # a row for each count
+    least = by_count.agg(F.min(F.when(F.col("total") <= COMMON, F.col("n"))).alias("least")).first()["least"] or 1 << 62
+    hot = counts.where(F.col("n") * SAMPLE > hot_rows).select("key").toPandas()["key"].to_numpy(np.int64)
+    return key_filter(counts.where(F.col("n") >= least), "key"), np.sort(hot)
 
 
-def _sets(bits: np.ndarray):
+def _passing(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for _at, _to, data, bounds in B.chunks(batch.column("text")):
-                nodes, blobs = [], []
-                for h in shingles(data, bounds):
-                    node = node_of(h)
-                    if not passes(bits, np.array([node])).all() or node in seen:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    nodes.append(node)
-                    blobs.append(h.tobytes())
-                if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], ["node", "hashes"])
+            yield batch.filter(pa.array(passes(bits, batch.column("node").to_numpy())))
 
     return run
 
@@ -242,51 +231,54 @@ class Members:
             self.sketch[size] = np.frombuffer(b"".join([blobs[i] for i in rows]), _U).reshape(-1, size)
             self.halved[size // 2] = _half(self.sketch[size])
 
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Pairs of places (a, b) in different components whose sizes and sketches don't rule a link out."""
+    def plausible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of places (a, b) the pairs of nodes, smaller first, whose components differ and whose sizes and sketches don't
+        rule a link out."""
+        ok = (self.comp[a] != self.comp[b]) & (4 * np.minimum(self.n[a], self.n[b]) >= 3 * np.maximum(self.n[a], self.n[b]))
+        a, b = a[ok], b[ok]
         found = [np.zeros((2, 0), np.int64)]
-        for i in a:
-            ok = b[(self.comp[b] != self.comp[i]) & (self.node[b] > self.node[i])]
-            ok = ok[4 * np.minimum(self.n[ok], self.n[i]) >= 3 * np.maximum(self.n[ok], self.n[i])]
-            if not len(ok):
-                continue
-            size = int(self.words[i])
-            own = self.sketch[size][self.place[i]]
-            for length, mine, theirs in ((size, own, self.sketch), (2 * size, own, self.halved), (size // 2, _half(own), self.sketch)):
-                some = ok[self.words[ok] == length]
-                if len(some):
-                    rows = theirs[size if length == 2 * size else length][self.place[some]]
-                    some = some[7 * np.bitwise_count(rows ^ mine).sum(1, dtype=np.int64) <= self.n[i] + self.n[some]]
-                    found.append(np.stack([np.full(len(some), self.node[i]), self.node[some]]))
+        for size in self.sketch:
+            for other in (size, 2 * size, size // 2):
+                some = np.flatnonzero((self.words[a] == size) & (self.words[b] == other))
+                for at in range(0, len(some), GATHER // size):
+                    i, j = a[some[at : at + GATHER // size]], b[some[at : at + GATHER // size]]
+                    x = (self.halved if other < size else self.sketch)[min(size, other)][self.place[i]]
+                    y = (self.halved if other > size else self.sketch)[min(size, other)][self.place[j]]
+                    near = 7 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= self.n[i] + self.n[j]
+                    left, right = self.node[i[near]], self.node[j[near]]
+                    found.append(np.stack([np.minimum(left, right), np.maximum(left, right)]))
         return np.concatenate(found, 1)
 
 
 def _tiles(group: pa.Table) -> pa.Table:
     left = group.column("left").to_numpy()
-    pairs = Members(group).pairs(np.flatnonzero(left), np.flatnonzero(~left))
+    rows, lefts, rights = Members(group), np.flatnonzero(left), np.flatnonzero(~left)
+    pairs = np.concatenate([np.zeros((2, 0), np.int64)] + [rows.plausible(np.full(len(rights), i), rights) for i in lefts], 1)
     return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node, at most TILE for each key: pairs within each key. Keys with the same members are
-    joined once."""
-    rest, seen = None, set()
+    """Rows sorted by key and node, at most TILE for each key: pairs within each key, by their distance in it. Keys with the
+    same members are joined once."""
+    rest, recent = None, B.Recent()
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key = table.column("key").to_numpy()
-        rows = Members(table)
-        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        found = [np.zeros((2, 0), np.int64)]
-        for x, y in zip(edge[:-1], edge[1:], strict=True):
-            members = hash(rows.node[x:y].tobytes())
-            if members in seen:
-                continue
-            if len(seen) < 1_000_000:
-                seen.add(members)
-            place = np.arange(x, y)
-            found.append(rows.pairs(place, place))
-        all_ = np.concatenate(found, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(all_[0]), pa.array(all_[1])], ["a", "b"])
+        rows, key = Members(table), table.column("key").to_numpy()
+        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        members, first = np.unique((B.mix(np.add.reduceat(B.mix(rows.node.view(_U)), edge)) | _U(1)).view(np.int64), return_index=True)
+        fresh = np.zeros(len(edge), bool)
+        fresh[first[recent.new(members)]] = True
+        size = np.diff(np.append(edge, len(key)))
+        after = np.repeat(edge + size - 1, size) - np.arange(len(key))  # members of the key behind this one
+        a, apart, found = np.flatnonzero(np.repeat(fresh, size)), 0, []
+        while len(a):
+            apart += 1
+            a = a[after[a] >= apart]
+            found.append(rows.plausible(a, a + apart))
+            if not len(a) or sum(x.shape[1] for x in found) > GATHER:
+                all_ = np.concatenate(found, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(all_[0]), pa.array(all_[1])], ["a", "b"])
+                found = []
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -300,55 +292,83 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(rest)
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def _with(pairs: DataFrame, side: str, table: DataFrame, total: int, fits: str) -> DataFrame:
+    """Pairs with the columns of a node's row; a side of the pairs may be the same node in very many of them."""
+    uses = pairs.groupBy(side).agg(F.count("*").alias("uses"))
+    return join_hot(pairs, table.join(uses, side), side, "uses", total, fits=fits)
+
+
+def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough: sketches rule most others out, then sets are compared."""
-    first = pairs.join(sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), "a")
+    pairs = saved(pairs)
+    total = pairs.count()
+    sketches = nodes.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    first = _with(pairs, "a", sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), total, f"octet_length(x) <= {FITS}")
     both = first.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
     pairs = saved(both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_plausible, "a long, b long"))
+    total = pairs.count()
     bits = key_filter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node")
-    sets = saved(texts.mapInArrow(_sets(bits), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")))
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    sets = saved(nodes.select("node", "hashes").mapInArrow(_passing(bits), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")))
+    first = _with(pairs, "a", sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), total, f"octet_length(x) <= {FITS}")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return saved(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
 
 
-def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _still_apart(shared: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes in one part and in different components that sketches don't rule out."""
+    named = saved(shared.select("key", "node", "n").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.col("n").cast("long").alias("n"), F.coalesce("component", "node").alias("comp")))
+    per_comp = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    stats = per_comp.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    stats = stats.select("key", "m", F.col("most.comp").alias("major"), (F.col("m") - F.col("most.c")).alias("minors"), F.col("m").alias("rows"))
+    folds = nodes.groupBy("node").agg(F.any_value("fold").alias("fold"))
+    mixed = saved(join_hot(named, stats, "key", "rows", named.count()).join(folds, "node"))
+    rows = ["key", "node", "n", "comp", "fold"]
+    few = mixed.where(F.col("m") <= TILE).select(*rows).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, "a long, b long")
+    blocks = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    place = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    many = mixed.where(F.col("m") > TILE)
+    lefts = many.where("comp <> major").select(place("minors").alias("i"), every("m").alias("j"), F.lit(True).alias("left"), *rows)
+    rights = many.select(every("minors").alias("i"), place("m").alias("j"), F.lit(False).alias("left"), *rows)
+    tiles = lefts.unionByName(rights).groupBy("key", "i", "j").applyInArrow(_tiles, "a long, b long")
+    return few.union(tiles).distinct()
+
+
+def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row of docs; ids are integers.
 
     Null and empty texts have no shingles and are linked with nothing, each a component of its own. Equal
     sets are linked. component_id is the smallest id reachable by links; a row with a null id is grouped like any
     other but never names a component."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = saved(texts.mapInArrow(_summarise, "id long, node long, n long, sketch binary, fold binary"))
-    sketches = rows.where("n > 2").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("fold").alias("fold"))
-    tokens = texts.mapInArrow(_emit(_common_parts(texts)), "key long, node long, n int")
-    by_key, by_size = W.partitionBy("key"), W.partitionBy("key").orderBy("n", "node")
+    table = written(texts.mapInArrow(_summarise, "id long, node long, n long, sketch binary, fold binary, hashes binary"))
+    rows, nodes = table.select("id", "node", "n"), table.where("hashes is not null").drop("id")  # a node's row may be repeated
+    common, hot = _common_parts(nodes.select("node", "hashes"), hot_rows)
+    tokens = nodes.select("node", "hashes").mapInArrow(_emit(common, hot), "key long, node long, n int, salt int")
+    by_key, by_size = W.partitionBy("key", "salt"), W.partitionBy("key", "salt").orderBy("n", "node")
     # of rows sorted by size, one that is not near enough in size to the next on either side has no partner
-    partner = F.coalesce(4 * F.col("n") >= 3 * F.lead("n").over(by_size), F.lit(False)) | F.coalesce(4 * F.lag("n").over(by_size) >= 3 * F.col("n"), F.lit(False))
+    partner = F.coalesce(4 * F.col("n") >= 3 * F.lead("n").over(by_size), F.lit(False)) | F.coalesce(4 * F.lag("n").over(by_size) >= 3 * F.col("n"), F.lit(False)) | (F.col("salt") > 0)
     partnered = tokens.withColumn("partner", partner).where("partner").drop("partner")
-    shared = saved(partnered.withColumn("first", F.min(F.struct("node", "n")).over(by_key)).withColumn("last", F.max("node").over(by_key)).where(F.col("first.node") < F.col("last")).select("key", "node", "n", F.col("first.node").alias("star"), F.col("first.n").alias("star_n")).distinct())
-    near = (4 * F.least("n", "star_n") >= 3 * F.greatest("n", "star_n")) & (F.col("node") > F.col("star"))
-    links = _links(shared.where(near).select(F.col("star").alias("a"), F.col("node").alias("b")).distinct(), sketches, texts)
-
+    shared = partnered.withColumn("first", F.min(F.struct("node", "n")).over(by_key)).withColumn("last", F.max("node").over(by_key)).where((F.col("first.node") < F.col("last")) | (F.col("salt") > 0)).select("key", "salt", "node", "n", "first")
+    shared = saved(shared.distinct())
+    if len(hot):  # the least node of each salt is known: at most SALTS rows for each hot part
+        least = shared.where("salt > 0").groupBy("key").agg(F.min("first").alias("least"))
+        shared = shared.join(F.broadcast(least), "key", "left").withColumn("first", F.coalesce("least", "first")).drop("least")
+    near = (4 * F.least("n", "first.n") >= 3 * F.greatest("n", "first.n")) & (F.col("node") > F.col("first.node"))
+    links = _links(shared.where(near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), nodes)
     comp = components(links)
-    named = shared.join(comp, F.col("node") == F.col("id"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = named.withColumn("lo", F.min("comp").over(by_key)).withColumn("hi", F.max("comp").over(by_key)).withColumn("m", F.count("*").over(by_key)).where("lo < hi")
-    mixed = saved(mixed.join(sketches.select("node", "fold"), "node").select("key", "node", F.col("n").cast("long").alias("n"), "comp", "fold", "m"))
-    few = mixed.where(F.col("m") <= TILE).drop("m").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, "a long, b long")
-    many = mixed.where(F.col("m") > TILE).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lefts = spread.select("key", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), "node", "n", "comp", "fold")
-    rights = spread.select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "node", "n", "comp", "fold")
-    tiles = lefts.unionByName(rights).groupBy("key", "i", "j").applyInArrow(_tiles, "a long, b long")
-    pairs = saved(few.union(tiles).distinct())
+    pairs = saved(_still_apart(shared, comp, nodes))
     if not pairs.isEmpty():
-        links = links.union(_links(pairs, sketches, texts))
+        links = links.union(_links(pairs, nodes))
         comp = components(links)
 
-    grouped = rows.join(comp.select(F.col("id").alias("c_id"), "component"), F.col("node") == F.col("c_id"), "left").select("id", "node", "n", F.coalesce("component", "node").alias("comp"))
-    least = grouped.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
-    out = grouped.join(least, "comp", "left")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    per_node = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    named = saved(per_node.join(comp, F.col("node") == F.col("id"), "left").select("node", "least", "copies", F.coalesce("component", "node").alias("comp")))
+    least = named.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    labels = join_hot(named.drop("least"), least, "comp", "nodes", named.count()).select("node", "component_id", "copies")
+    full = join_hot(rows.where("n > 0"), labels, "node", "copies", rows.count())
+    out = full.select("id", "n", "component_id").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
