@@ -26,6 +26,12 @@ def unit(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches that tasks exchange with Python workers small: rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4MB")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's checkpoint folder; where none is set (tests, one machine), set one."""
     context = spark.sparkContext

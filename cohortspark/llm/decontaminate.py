@@ -5,7 +5,8 @@ search can ask for; postings of the rarest term of a window also store the words
 each window's two rarest terms by their counts in the corpus, shifts both posting lists by the
 terms' offsets in the item, intersects them, and compares the words around each remaining
 posting with the item: that gives exact phrase matches. Proximity matches are pairs of the same two
-lists within a given distance. DataFrame functions only.
+lists within a given distance. Texts are cut into words once and the words are written; counts and postings are read
+off them. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,22 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, written
 
-#: Words are runs of digits, letters A-Z of either case, and characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words are runs of digits, letters A-Z in lower case, and characters beyond ASCII; these characters are between them.
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 32 << 20
 WINDOW = 10
+LISTED = 20_000  # so many terms are looked up within an array of words, more by a join
 FEW, PART_BYTES = 4, 1 << 22  # least partitions of tables of the benchmark's size, and bytes of its text for each
 
 
-def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-
-
-def ascii_lower(word: Column) -> Column:
-    return F.translate(word, UPPER, LOWER)
+def normalised(text: Column) -> Column:
+    """A text's words with one blank between them; one translation of characters is far cheaper than matching words."""
+    blanks = F.translate(F.coalesce(text, F.lit("")), BETWEEN + UPPER, " " * len(BETWEEN) + LOWER)
+    return F.trim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def small(frame: DataFrame, size: int) -> DataFrame:
@@ -48,21 +48,18 @@ def partitions(size: int) -> int:
     return max(FEW, -(-size // PART_BYTES))
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """A row's key is its id with a hash of its text, so rows that share an id but not a text stay apart."""
-    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+def words_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, h, n_words, words): one row for each row of docs, words with one blank between them, written once.
+
+    A row's key is its id with a hash of its text, so rows that share an id but not a text stay apart."""
+    cut = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), normalised(F.col(text)).alias("words"))
+    n_words = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
+    return written(cut.select("id", "h", n_words.cast("long").alias("n_words"), "words"))
 
 
 def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     """Distinct (item, words) with at least one word."""
-    return benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), raw_words(ascii_lower(F.col(text))).alias("w")).where(F.size("w") > 0).distinct()
-
-
-def _with_terms(tokens: DataFrame, terms: DataFrame, size: int) -> DataFrame:
-    """Tokens (raw spelling) that are one of the terms, in A-Z lower case. Full lower case, which is cheap, finds
-    candidates; only they are compared letter by letter."""
-    joined = tokens.join(small(terms.withColumn("full", F.lower("term")), size), F.lower("raw") == F.col("full"))
-    return joined.where((F.col("raw") == F.col("term")) | (ascii_lower(F.col("raw")) == F.col("term"))).drop("raw", "full")
+    return benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), normalised(F.col(text)).alias("w")).where("w <> ''").distinct().withColumn("w", F.split("w", " "))
 
 
 def windows_of(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
@@ -84,23 +81,27 @@ def windows_of(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     return by_item.select("item", F.size("c").alias("n"), F.explode(F.transform(rare, one)).alias("r")).select("item", "n", "r.*").distinct()
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, size: int, text: str = "text") -> DataFrame:
+def term_counts(words: DataFrame, terms: DataFrame, size: int) -> DataFrame:
     """(term, n): how often each term occurs in the whole corpus."""
-    return _with_terms(docs.select(F.explode(raw_words(F.col(text))).alias("raw")), terms, size).groupBy("term").agg(F.count("*").alias("n"))
+    return words.select(F.explode(F.split("words", " ")).alias("term")).join(small(terms, size), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, size: int, around: int) -> DataFrame:
+def build_index(words: DataFrame, terms: DataFrame, size: int, around: int) -> DataFrame:
     """Postings (term, id, h, pos, ctx) of `terms`(term, anchor); ctx holds up to `around` words on either side of
-    an anchor term's posting. docs has id, h and text."""
-    tokens = docs.select("id", "h", raw_words(F.col("text")).alias("w")).select("id", "h", "w", F.posexplode("w").alias("pos", "raw"))
-    first = F.greatest(F.col("pos") - around, F.lit(0))
-    near = F.slice("w", first + 1, F.col("pos") - first + around + 1)
-    if size > BROADCAST_BYTES:  # tokens are shuffled, so they are cut from their document first
-        tokens = tokens.select("id", "h", "pos", "raw", near.alias("near"))
-        near = F.col("near")
-    found = _with_terms(tokens, terms, size)
-    ctx = F.split(ascii_lower(F.array_join(near, " ")), " ")
-    return found.select("term", "id", "h", "pos", F.when(F.col("anchor"), ctx).alias("ctx"))
+    an anchor term's posting. words has id, h and words.
+
+    Up to LISTED terms are found within a text's array of words, so that only postings leave it; more terms, or terms of
+    over BROADCAST_BYTES, are joined with all words, each with the words around it."""
+    tokens = words.select("id", "h", F.split("words", " ").alias("w"))
+    listed = [r["term"] for r in terms.select("term").limit(LISTED + 1).collect()] if size <= BROADCAST_BYTES else []
+    near = f"slice(w, greatest(i - {around}, 0) + 1, i - greatest(i - {around}, 0) + {around + 1})"
+    if 0 < len(listed) <= LISTED:
+        those = ", ".join(f"'{t}'" for t in sorted(listed))  # words hold no quotes
+        places = F.expr(f"filter(transform(w, (x, i) -> IF(x IN ({those}), struct(i AS pos, x AS term, {near} AS near), NULL)), s -> s IS NOT NULL)")
+    else:
+        places = F.expr(f"transform(w, (x, i) -> struct(i AS pos, x AS term, {near} AS near))")
+    found = tokens.select("id", "h", F.explode(places).alias("s")).select("id", "h", "s.*").join(small(terms, size), "term")
+    return found.select("term", "id", "h", "pos", F.when(F.col("anchor"), F.col("near")).alias("ctx"))
 
 
 def _run_lengths(ctx: Column, at: Column, w: Column, q: Column, reach: int) -> tuple[Column, Column]:
@@ -141,15 +142,22 @@ def proximity_hits(postings: DataFrame, windows: DataFrame, size: int, slop: int
 
 
 def search(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:
-    """Matches of benchmark items in documents: (id, h, item, lo, hi) phrase spans, or, given a slop, proximity pairs."""
-    keyed = _keyed(docs, doc_id, text)
+    """Matches of benchmark items in documents: (id, h, item, lo, hi) phrase spans, or, given a slop, proximity
+    pairs (id, h, item, pos1, pos2); h is xxhash64 of the text, positions count words.
+
+    Null and empty texts match nothing, nor do items without words; rows that repeat id and text give
+    their matches as often; other columns of either table don't matter."""
+    return _search(words_of(docs, doc_id, text), benchmark, item_id, item_text, window, slop)
+
+
+def _search(words: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, window: int, slop: int | None = None) -> DataFrame:
     few = partitions(benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0)
     items = saved(items_of(benchmark, item_id, item_text).coalesce(few))
     terms = saved(items.select(F.explode("w").alias("term")).distinct().coalesce(few))
-    counts = term_counts(keyed, terms, bytes_of(terms))
+    counts = term_counts(words, terms, bytes_of(terms))
     windows = saved(windows_of(items, counts, window).coalesce(few))
     wanted = saved(windows.select(F.col("t1").alias("term"), F.lit(True).alias("anchor")).union(windows.where("t2 is not null").select("t2", F.lit(False))).groupBy("term").agg(F.max("anchor").alias("anchor")).coalesce(few))
-    postings = saved(build_index(keyed, wanted, bytes_of(wanted), window - 1))
+    postings = saved(build_index(words, wanted, bytes_of(wanted), window - 1))
     size = bytes_of(windows)
     return proximity_hits(postings, windows, size, slop) if slop else phrase_hits(postings, windows, size, window)
 
@@ -160,7 +168,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     Null and empty texts have no words and no hits; items without words match nothing; an item of fewer words than
     the window is one window. Rows that repeat id and text get the same result. items is the sorted array
     of matched item ids as strings; a null item id counts as the empty string."""
-    hits = search(docs, benchmark, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text, window=window)
+    words = words_of(docs, doc_id, text)
+    hits = _search(words, benchmark, item_id, item_text, window)
     spans = hits.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end")),
@@ -168,7 +177,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
         lambda a: a["n"],
     )
     per_doc = spans.select("id", "h", covered.alias("n_hit"), "items")
-    base = docs.select(F.col(doc_id).alias("b_id"), F.xxhash64(text).alias("b_h"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    base = words.select(F.col("id").alias("b_id"), F.col("h").alias("b_h"), "n_words")
     out = base.join(per_doc, F.expr("b_id <=> id and b_h = h"), "left")
     return out.select(F.col("b_id").alias(doc_id), F.col("b_h").alias("_h"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import bytesops as B
-from .common import join_hot, key_filter, passes, saved, written
+from .common import bound_batches, join_hot, key_filter, passes, saved, written
 from .components import components
 
 SHINGLE = 5
@@ -182,8 +182,8 @@ def _common_parts(sets: DataFrame, hot_rows: int) -> tuple[np.ndarray, np.ndarra
     total = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.currentRow)
     by_count = counts.groupBy("n").agg(F.count("*").alias("keys")).withColumn("total", F.sum("keys").over(total))  # a row for each count
     least = by_count.agg(F.min(F.when(F.col("total") <= COMMON, F.col("n"))).alias("least")).first()["least"] or 1 << 62
-    hot = counts.where(F.col("n") * SAMPLE > hot_rows).select("key").toPandas()["key"].to_numpy(np.int64)
-    return key_filter(counts.where(F.col("n") >= least), "key"), np.sort(hot)
+    hot = [r["key"] for r in counts.where(F.col("n") * SAMPLE > hot_rows).select("key").collect()]
+    return key_filter(counts.where(F.col("n") >= least), "key"), np.array(hot, np.int64)
 
 
 def _passing(bits: np.ndarray):
@@ -316,12 +316,12 @@ def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _still_apart(shared: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of nodes in one part and in different components that sketches don't rule out."""
-    named = saved(shared.select("key", "node", "n").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.col("n").cast("long").alias("n"), F.coalesce("component", "node").alias("comp")))
+    named = written(shared.select("key", "node", "n").join(comp, F.col("node") == F.col("id"), "left").select("key", "node", F.col("n").cast("long").alias("n"), F.coalesce("component", "node").alias("comp")))
     per_comp = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
     stats = per_comp.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
     stats = stats.select("key", "m", F.col("most.comp").alias("major"), (F.col("m") - F.col("most.c")).alias("minors"), F.col("m").alias("rows"))
     folds = nodes.groupBy("node").agg(F.any_value("fold").alias("fold"))
-    mixed = saved(join_hot(named, stats, "key", "rows", named.count()).join(folds, "node"))
+    mixed = written(join_hot(named, stats, "key", "rows", named.count()).join(folds, "node"))
     rows = ["key", "node", "n", "comp", "fold"]
     few = mixed.where(F.col("m") <= TILE).select(*rows).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, "a long, b long")
     blocks = lambda c: F.ceil(F.col(c) / TILE).cast("int")
@@ -340,6 +340,7 @@ def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hot_
     Null and empty texts have no shingles and are linked with nothing, each a component of its own. Equal
     sets are linked. component_id is the smallest id reachable by links; a row with a null id is grouped like any
     other but never names a component."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     table = written(texts.mapInArrow(_summarise, "id long, node long, n long, sketch binary, fold binary, hashes binary"))
     rows, nodes = table.select("id", "node", "n"), table.where("hashes is not null").drop("id")  # a node's row may be repeated
@@ -350,7 +351,7 @@ def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hot_
     partner = F.coalesce(4 * F.col("n") >= 3 * F.lead("n").over(by_size), F.lit(False)) | F.coalesce(4 * F.lag("n").over(by_size) >= 3 * F.col("n"), F.lit(False)) | (F.col("salt") > 0)
     partnered = tokens.withColumn("partner", partner).where("partner").drop("partner")
     shared = partnered.withColumn("first", F.min(F.struct("node", "n")).over(by_key)).withColumn("last", F.max("node").over(by_key)).where((F.col("first.node") < F.col("last")) | (F.col("salt") > 0)).select("key", "salt", "node", "n", "first")
-    shared = saved(shared.distinct())
+    shared = written(shared.distinct())
     if len(hot):  # the least node of each salt is known: at most SALTS rows for each hot part
         least = shared.where("salt > 0").groupBy("key").agg(F.min("first").alias("least"))
         shared = shared.join(F.broadcast(least), "key", "left").withColumn("first", F.coalesce("least", "first")).drop("least")
