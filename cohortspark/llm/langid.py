@@ -17,34 +17,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import fold, pack, unit, unpack
+from .common import bound_batches, fold, pack, unit, unpack
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST = 8  # bytes of a piece, the word mark not counted
-MAX_WORD = 48  # longer words are scored in runs of so many bytes
+SHORT = 32  # words of up to so many bytes are handled together, longer ones each by itself
+CHUNK_BYTES = 1 << 20
+PER_BYTE = 1e5  # every probability is scaled by this for each byte it covers, which keeps sums of SHORT bytes well inside doubles
+FAR = 1e100  # the sums of a longer word are brought back towards 1 when they leave 1 / FAR to FAR
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD_BYTES = B.byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _START = np.uint64(0x5851F42D4C957F2D)
 
 
-def vocabulary(path: str = VOCABULARY) -> np.ndarray:
-    """Sorted 64-bit keys of the vocabulary's pieces in lower case, and of every single byte.
+def vocabulary(path: str = VOCABULARY) -> tuple[np.ndarray, int]:
+    """Sorted 64-bit keys of the vocabulary's pieces in lower case, and of every single byte; and the longest piece's bytes.
 
     A piece with a word mark only matches at a word's start, so it has a key of its own."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    inner, opening = set(), set()
+    inner, opening = {bytes([b]) for b in range(256)}, set()
     for i in range(model.get_piece_size()):
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
             continue
         piece = model.id_to_piece(i).lower()
         body = piece.lstrip("▁").encode()
-        if 0 < len(body) <= LONGEST:
+        if body:
             (opening if piece[0] == "▁" else inner).add(body)
-    singles = {bytes([b]) for b in range(256)}
-    keys = [_keys(sorted(inner | singles)), _keys(sorted(opening)) ^ _START]
-    return np.unique(np.concatenate(keys))
+    keys = [_keys(sorted(inner)), _keys(sorted(opening)) ^ _START]
+    return np.unique(np.concatenate(keys)), max(map(len, inner | opening))
 
 
 def _keys(pieces: list[bytes]) -> np.ndarray:
@@ -54,19 +55,20 @@ def _keys(pieces: list[bytes]) -> np.ndarray:
 
 
 class Words:
-    """Distinct words of a chunk as a matrix of piece indexes: [length - 1][word, end - 1], or -1."""
+    """Distinct words of a chunk: those of up to SHORT bytes as tables of pieces by end and length, the others one by one."""
 
-    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, index: B.Keys) -> None:
-        self.length = end - start
-        self.width = int(self.length.max()) if len(start) else 0
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, index: B.Keys, longest: int) -> None:
         prefix = B.prefix_hash(data)
+        self.long = np.flatnonzero(end - start > SHORT)
+        self.long_words = [LongWord(prefix, a, b, index, longest) for a, b in zip(start[self.long].tolist(), end[self.long].tolist(), strict=True)]
+        short = np.flatnonzero(end - start <= SHORT)
+        self.order = short[np.argsort((start - end)[short], kind="stable")]
+        start, self.length, self.n = start[self.order], (end - start)[self.order], len(end)
+        self.width = int(self.length.max(initial=0))
         self.cells: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # piece's end, its length, words, pieces
-        order = np.argsort(-self.length, kind="stable")
-        self.order, self.length = order, self.length[order]
-        start = start[order]
         for to in range(1, self.width + 1):
             alive = int(np.searchsorted(-self.length, -to, side="right"))
-            for n in range(1, min(LONGEST, to) + 1):
+            for n in range(1, min(longest, to) + 1):
                 hashes = B.span_hash(prefix, start[:alive] + to - n, start[:alive] + to)
                 if to == n:
                     word, piece = index.find(hashes ^ _START)
@@ -76,42 +78,86 @@ class Words:
                 if len(word):
                     self.cells.append((to, n, word, piece))
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[end, word]: probability of the word's first `end` bytes over all segmentations."""
+    def _forward(self, p: np.ndarray) -> np.ndarray:
+        """alpha[end, word]: probability of a short word's first `end` bytes over all segmentations, PER_BYTE for each byte."""
         alpha = np.zeros((self.width + 1, len(self.length)))
         alpha[0] = 1
         for to, n, word, piece in self.cells:
-            alpha[to, word] += alpha[to - n, word] * p[piece]
+            alpha[to, word] += alpha[to - n, word] * p[piece] * PER_BYTE**n
         return alpha
 
     def log_probability(self, p: np.ndarray) -> np.ndarray:
-        alpha = self.forward(p)
-        return np.log(np.maximum(alpha[self.length, np.arange(len(self.length))], 1e-300))
+        """log of each word's probability over all segmentations."""
+        out = np.empty(self.n)
+        whole = self._forward(p)[self.length, np.arange(len(self.length))]
+        with np.errstate(divide="ignore"):
+            out[self.order] = np.log(whole) - self.length * np.log(PER_BYTE)
+        out[self.long] = [w.forward(p)[-1] for w in self.long_words]
+        return out
 
     def expected(self, p: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations of words that occur `count` times."""
-        alpha = self.forward(p)
-        n_words = len(self.length)
+        alpha, place = self._forward(p), np.arange(len(self.length))
         beta = np.zeros_like(alpha)
-        beta[self.length, np.arange(n_words)] = 1
-        weight = count / np.maximum(alpha[self.length, np.arange(n_words)], 1e-300)
+        beta[self.length, place] = 1
+        weight = count[self.order] / alpha[self.length, place]
         uses = np.zeros(len(p))
         for to, n, word, piece in reversed(self.cells):
-            flow = beta[to, word] * p[piece]
+            flow = beta[to, word] * p[piece] * PER_BYTE**n
             uses += np.bincount(piece, weights=alpha[to - n, word] * flow * weight[word], minlength=len(p))
             beta[to - n, word] += flow
+        for w, c in zip(self.long_words, count[self.long], strict=True):
+            uses += c * w.expected(p)
         return uses
 
 
+class LongWord:
+    """A word of any length: its pieces by end, summed byte by byte on scaled sums."""
+
+    def __init__(self, prefix: np.ndarray, start: int, end: int, index: B.Keys, longest: int) -> None:
+        found = []
+        for n in range(1, min(longest, end - start) + 1):
+            hashes = B.span_hash(prefix, np.arange(start, end - n + 1), np.arange(start + n, end + 1))
+            for h in (hashes, hashes[:1] ^ _START):
+                at, piece = index.find(h)
+                found.append(np.stack([at + n, np.full(len(at), n), piece]))
+        ends = np.concatenate(found, 1)
+        self.size, (self.end, self.n, self.piece) = end - start, ends[:, np.argsort(ends[0], kind="stable")]
+
+    @staticmethod
+    def _sum(size: int, end: np.ndarray, n: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """log of the summed weights of all ways to each end, for pieces sorted by end."""
+        cut, near, log, out = np.searchsorted(end, np.arange(size + 2)).tolist(), np.zeros(size + 1), 0.0, np.zeros(size + 1)
+        near[0], begin = 1.0, end - n
+        widest = int(n.max())
+        for to in range(1, size + 1):
+            a, b = cut[to], cut[to + 1]
+            now = near[begin[a:b]] @ weight[a:b]
+            if not 1 / FAR < now < FAR and now > 0:
+                near[max(0, to - widest) : to] /= now
+                log += np.log(now)
+                now = 1.0
+            near[to] = now
+            out[to] = np.log(now) + log if now > 0 else -np.inf
+        return out
+
+    def forward(self, p: np.ndarray) -> np.ndarray:
+        """log probability of the first 0, 1, ... bytes over all segmentations."""
+        scaled = self._sum(self.size, self.end, self.n, p[self.piece] * PER_BYTE ** self.n.astype(float))
+        return scaled - np.log(PER_BYTE) * np.arange(self.size + 1)
+
+    def expected(self, p: np.ndarray) -> np.ndarray:
+        begin = self.end - self.n
+        order = np.argsort(self.size - begin, kind="stable")
+        ahead = self.forward(p)
+        behind = self._sum(self.size, (self.size - begin)[order], self.n[order], (p[self.piece] * PER_BYTE ** self.n.astype(float))[order]) - np.log(PER_BYTE) * np.arange(self.size + 1)
+        share = np.exp(ahead[begin] + np.log(p[self.piece]) + behind[self.size - self.end] - ahead[-1])
+        return np.bincount(self.piece, weights=share, minlength=len(p))
+
+
 def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of letters (and of any bytes beyond ASCII), the longest in parts of MAX_WORD bytes."""
-    start, end, row = B.words(data, bounds, _WORD_BYTES)
-    parts = np.maximum(1, -(-(end - start) // MAX_WORD))
-    if (parts == 1).all():
-        return start, end, row
-    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    start, end, row = np.repeat(start, parts) + nth * MAX_WORD, np.repeat(end, parts), np.repeat(row, parts)
-    return start, np.minimum(end, start + MAX_WORD), row
+    """Runs of letters (and of any bytes beyond ASCII)."""
+    return B.words(data, bounds, _WORD_BYTES)
 
 
 def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,18 +166,17 @@ def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return first, inverse
 
 
-def _trainer(keys: np.ndarray, rounds: int):
+def _trainer(keys: np.ndarray, longest: int, rounds: int):
     def fit(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, held, lang = B.Keys(keys), [], None
         for batch in batches:
             lang = batch.column("lang")[0].as_py() if lang is None else lang
-            for _at, _to, data, bounds in B.chunks(batch.column("text")):
+            for _at, _to, data, bounds in B.chunks(batch.column("text"), CHUNK_BYTES):
                 low = B.latin_lower(data)
                 start, end, _row = word_spans(low, bounds)
                 if len(start):
                     first, inverse = distinct_words(low, start, end)
-                    words = Words(low, start[first], end[first], index)
-                    held.append((words, np.bincount(inverse)[words.order].astype(float)))
+                    held.append((Words(low, start[first], end[first], index, longest), np.bincount(inverse).astype(float)))
         p = np.full(len(keys), 1 / len(keys))
         for _ in range(rounds):
             uses = sum((w.expected(p, c) for w, c in held), np.zeros(len(keys)))
@@ -144,16 +189,17 @@ def _trainer(keys: np.ndarray, rounds: int):
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_language: int = 800, max_bytes: int = 1 << 18, rounds: int = 3, path: str = VOCABULARY) -> bytes | None:
     """Piece probabilities of every language named in `lang`, from about docs_per_language documents of each
     (texts of up to max_bytes), chosen by a hash of the id. Languages are learned independently, one task each. None if no row has a language."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
     small = rows.where(F.octet_length("text") <= max_bytes)
     sample = small.join(F.broadcast(counts), "lang").where(unit(F.col("id").cast("string")) * F.col("n") < docs_per_language).select("lang", "text")
-    keys = vocabulary(path)
-    found = sample.groupBy("lang").applyInArrow(_trainer(keys, rounds), "lang string, p binary").collect()
+    keys, longest = vocabulary(path)
+    found = sample.groupBy("lang").applyInArrow(_trainer(keys, longest, rounds), "lang string, p binary").collect()
     if not found:
         return None
     found.sort(key=lambda r: r["lang"])
-    return pack(keys=keys, p=np.stack([np.frombuffer(r["p"], np.float32) for r in found]), langs=np.array([r["lang"] for r in found]))
+    return pack(keys=keys, longest=np.array(longest), p=np.stack([np.frombuffer(r["p"], np.float32) for r in found]), langs=np.array([r["lang"] for r in found]))
 
 
 def _has_letter(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -173,18 +219,15 @@ def _labeller(model: bytes):
 
     def label(column: pa.Array) -> tuple[list[str], np.ndarray]:
         preds, scores = [], []
-        for at, to, data, bounds in B.chunks(column):
+        for at, to, data, bounds in B.chunks(column, CHUNK_BYTES):
             low = B.latin_lower(data)
             total = np.zeros((len(langs), to - at))
             start, end, row = word_spans(low, bounds)
             if len(start):
                 first, inverse = distinct_words(low, start, end)
-                words = Words(low, start[first], end[first], index)
-                back = np.empty_like(words.order)
-                back[words.order] = np.arange(len(words.order))
+                words = Words(low, start[first], end[first], index, int(m["longest"]))
                 for k in range(len(langs)):
-                    each = words.log_probability(p[k])[back]
-                    total[k] = np.bincount(row, weights=each[inverse], minlength=to - at)
+                    total[k] = np.bincount(row, weights=words.log_probability(p[k])[inverse], minlength=to - at)
             best = total.argmax(0)
             score = 1 / np.exp(np.maximum(total - total.max(0), -700)).sum(0)
             letters = _has_letter(data, bounds)

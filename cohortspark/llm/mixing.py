@@ -3,9 +3,12 @@
 Every document starts with a fractional number of copies, its source's target over its source's size. The whole
 part is certain; the fractional parts are settled in pairs: probability mass, measured in words, moves
 at random from one document of a pair to the other until one of the two is integral, and the
-other goes on with what is left. Large documents meet first, so that the one left in the end is small. A move never changes the pair's expected words, so a source takes
-its target to within one document. Pairs meet in a reduction tree: blocks of about FAN_IN documents settle all
-but one of theirs, the remaining ones of FAN_IN blocks meet in the next level, and so on.
+other goes on with what is left. A move never changes the pair's expected words. Pairs meet in a reduction tree: blocks of
+about FAN_IN documents settle all but one of theirs, the remaining ones of FAN_IN blocks meet in the next level, and so on.
+
+Documents are settled by classes of size, the largest first. The one that a class leaves is paired with all smaller
+documents of its source together, whose common fraction takes up what it gives or lacks; so what is left undecided in
+the end is as small as the source's smallest documents, and a huge document can't take its source off its target.
 DataFrame functions only.
 """
 
@@ -15,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import saved, unit
+from .common import saved, unit, written
 
 FAN_IN = 64
 WORD_RUN = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 50_000
+CLASS_BITS = 3  # sizes of a class differ by less than a factor of 2^CLASS_BITS
 
 
 def source_targets(sizes: DataFrame, *, max_factor: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -68,11 +72,24 @@ def _settle(items: Column, item: str, seed: int) -> Column:
     return F.aggregate(items, start, meet)
 
 
+def _hand_down(last: DataFrame, seed: int) -> DataFrame:
+    """Pair a class's remaining document (fraction f) with all smaller ones of its source (`below` words, fraction
+    `common`): adds bit and the smaller ones' new `common`. If those become integral first, the document is drawn alone."""
+    up = F.least((1 - F.col("f")) * F.col("size"), F.col("common") * F.col("below"))
+    down = F.least(F.col("f") * F.col("size"), (1 - F.col("common")) * F.col("below"))
+    gains = unit(F.col("h"), F.lit(seed), F.lit("below")) * (F.col("up") + F.col("down")) < F.col("down")
+    moved = F.when(F.col("up") + F.col("down") <= 0, 0.0).when(gains, F.col("up")).otherwise(-F.col("down"))
+    f = F.col("f") + F.col("moved") / F.col("size")
+    common = F.when(F.col("below") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("common") - F.col("moved") / F.col("below")))).otherwise(F.col("common"))
+    bit = F.when(f > 1 - 1e-9, 1).when(f < 1e-9, 0).when(unit(F.col("h"), F.lit(seed), F.lit("last")) < f, 1).otherwise(0)
+    return last.withColumn("up", up).withColumn("down", down).withColumn("moved", moved).select("rank", "id", "nth", "size", "base", bit.cast("long").alias("bit"), common.alias("common"))
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_factor: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 1) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): one row for each row of docs.
+    """(doc_id, source, size, source_size, target, copies, taken, nth): one row for each row of docs.
 
     Null texts have size 0. Documents without words take no words. Repeated rows are told apart by a running
-    number, so each is drawn by itself. Draws depend on ids, sizes and the seed only: reruns agree."""
+    number nth, so each is drawn by itself. Draws depend on ids, sizes and the seed only: reruns agree."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD_RUN)).cast("long").alias("size"))
     rows = saved(rows.groupBy("id", "source", "size").agg(F.count("*").alias("repeats")))
@@ -81,31 +98,42 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     bound = targets.agg(F.max("n").alias("n"), F.count("*").alias("sources")).first()
     known = F.broadcast(targets) if bound["sources"] <= BROADCAST_SOURCES else targets
 
+    few = lambda frame: F.broadcast(frame) if bound["sources"] <= BROADCAST_SOURCES else frame
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = (
-        rows.alias("r").join(known.alias("t"), F.expr("r.source <=> t.source")).select("id", "size", "rank", "n", rate.alias("rate"), F.explode(F.expr("sequence(1L, repeats)")).alias("nth"))
+        rows.alias("r").join(known.alias("t"), F.expr("r.source <=> t.source")).select("id", "size", "rank", rate.alias("rate"), F.explode(F.expr("sequence(1L, repeats)")).alias("nth"))
         .withColumn("base", F.floor(F.col("rate") + 1e-12).cast("long")).withColumn("f", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
         .withColumn("h", F.xxhash64(F.col("id"), F.col("nth"), F.col("size"), F.lit(seed)))
+        .withColumn("class", F.when((F.col("size") > 0) & (F.col("f") > 1e-12), F.floor((F.length(F.bin("size")) - 1) / CLASS_BITS).cast("int")))
     )
-    open_ = (F.col("size") > 0) & (F.col("f") > 1e-12)
-    certain = units.where(~open_).select("id", "size", "rank", "base", F.lit(0).cast("long").alias("bit"))
-    item = f"STRUCT<largest: BIGINT, h: BIGINT, id: {kind}, size: BIGINT, base: BIGINT, f: DOUBLE>"
-    level = units.where(open_).select("rank", F.struct((-F.col("size")).alias("largest"), "h", "id", "size", "base", "f").alias("item"), F.ceil(F.col("n") / FAN_IN).alias("blocks")).withColumn("block", F.pmod(F.xxhash64(F.col("item.h")), F.col("blocks")))
-    most, depth, settled = -(-(bound["n"] or 1) // FAN_IN), 0, [certain]
-    while True:
-        blocks = saved(level.groupBy("rank", "blocks", "block").agg(F.array_sort(F.collect_list(F.col("item").cast(item))).alias("items")).select("rank", "blocks", "block", _settle(F.col("items"), item, seed + depth).alias("s")))
-        settled.append(blocks.select("rank", F.explode("s.done").alias("d")).select(F.col("d.item.id").alias("id"), F.col("d.item.size").alias("size"), "rank", F.col("d.item.base").alias("base"), F.col("d.bit").alias("bit")))
-        level = blocks.where("s.carry is not null").select("rank", F.col("s.carry").alias("item"), F.ceil(F.col("blocks") / FAN_IN).alias("blocks"), F.floor(F.col("block") / FAN_IN).alias("block"))
-        if most <= 1:
-            break
-        most, depth = -(-most // FAN_IN), depth + 1
-    last = F.when(unit(F.col("item.h"), F.lit(seed), F.lit("last")) < F.col("item.f"), 1).otherwise(0).cast("long")
-    settled.append(level.select(F.col("item.id").alias("id"), F.col("item.size").alias("size"), "rank", F.col("item.base").alias("base"), last.alias("bit")))
+    units = written(units.select("id", "nth", "size", "rank", "base", "f", "h", "class"))
+    smaller = W.partitionBy("rank").orderBy("class").rowsBetween(W.unboundedPreceding, -1)
+    classes = units.where("class is not null").groupBy("rank", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("f").alias("f"))
+    classes = saved(classes.withColumn("below", F.coalesce(F.sum("words").over(smaller), F.lit(0))))  # a row for each source and class
+    state = classes.groupBy("rank").agg(F.min("f").alias("f"))
+    item = f"STRUCT<largest: BIGINT, h: BIGINT, id: {kind}, nth: BIGINT, size: BIGINT, base: BIGINT, f: DOUBLE>"
+    settled = [units.where("class is null").select("id", "nth", "size", "rank", "base", F.lit(0).cast("long").alias("bit"))]
+    for c in classes.groupBy("class").agg(F.max("n").alias("n")).orderBy(F.desc("class")).collect():  # at most 22 classes
+        here = classes.where(F.col("class") == c["class"]).select("rank", "n", "below").join(state, "rank")
+        level = units.where(F.col("class") == c["class"]).drop("f").join(few(here), "rank")
+        level = level.select("rank", F.struct((-F.col("size")).alias("largest"), "h", "id", "nth", "size", "base", "f").alias("item"), F.ceil(F.col("n") / FAN_IN).alias("blocks"))
+        level = level.withColumn("block", F.pmod(F.xxhash64(F.col("item.h")), F.col("blocks")))
+        most, depth = -(-c["n"] // FAN_IN), 0
+        while True:
+            blocks = saved(level.groupBy("rank", "blocks", "block").agg(F.array_sort(F.collect_list(F.col("item").cast(item))).alias("items")).select("rank", "blocks", "block", _settle(F.col("items"), item, seed + depth).alias("s")))
+            settled.append(blocks.select("rank", F.explode("s.done").alias("d")).select(F.col("d.item.id").alias("id"), F.col("d.item.nth").alias("nth"), F.col("d.item.size").alias("size"), "rank", F.col("d.item.base").alias("base"), F.col("d.bit").alias("bit")))
+            level = blocks.where("s.carry is not null").select("rank", F.col("s.carry").alias("item"), F.ceil(F.col("blocks") / FAN_IN).alias("blocks"), F.floor(F.col("block") / FAN_IN).alias("block"))
+            if most <= 1:
+                break
+            most, depth = -(-most // FAN_IN), depth + 1
+        left = saved(_hand_down(level.select("rank", "item.*").join(few(here.select("rank", "below", F.col("f").alias("common"))), "rank"), seed))
+        settled.append(left.select("id", "nth", "size", "rank", "base", "bit"))
+        state = state.join(few(left.select("rank", "common")), "rank", "left").select("rank", F.coalesce("common", "f").alias("f"))
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)
     copies = F.col("base") + F.col("bit")
-    return out.join(known, "rank").select(F.col("id").alias(doc_id), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.join(known, "rank").select(F.col("id").alias(doc_id), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "nth")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

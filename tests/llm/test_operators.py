@@ -58,10 +58,13 @@ def rows_of(docs):
 
 def test_components(spark):
     r = random.Random(0)
-    pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)]
-    root = {x: x for p in pairs for x in p}
-    for _ in range(60):
-        for a, b in pairs:
+    chain, names = 2000, r.sample(range(1000, 9000), 2001)
+    pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(names[i], names[i + 1]) for i in range(chain)]
+    pairs += [(20000, 20001 + i) for i in range(500)]  # a hub
+    root, before = {x: x for p in pairs for x in p}, None
+    while root != before:
+        before = dict(root)
+        for a, b in pairs + pairs[::-1]:
             root[a] = root[b] = min(root[a], root[b])
     got = dict(map(tuple, components.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
     assert all(got.get(x, x) == y for x, y in root.items())
@@ -96,13 +99,14 @@ def test_jaccard_against_all_pairs(docs, nothing):
     assert jaccard.similar(nothing).count() == 0
 
 
-@pytest.mark.parametrize("tile", [512, 4])
-def test_jaccard_chains_and_tiles(spark, monkeypatch, tile):
-    """A chain of texts, each similar to the next only, is one component; small tiles give the same."""
+@pytest.mark.parametrize(("tile", "sample", "hot_rows"), [(512, 8, 1 << 22), (4, 1, 2)])
+def test_jaccard_chains_and_tiles(spark, monkeypatch, tile, sample, hot_rows):
+    """A chain of texts, each similar to the next only, is one component; small tiles and hot parts give the same."""
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "SAMPLE", sample)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[i * 12 : i * 12 + 160])) for i in range(16)] + [(100 + i, " ".join(words[200:300] + [f"u{i}_{j}" for j in range(60)])) for i in range(12)]
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), hot_rows=hot_rows).collect()}
     assert {got[i] for i in range(16)} == {0} and all(got[100 + i] == 100 + i for i in range(12))
 
 
@@ -485,22 +489,3 @@ def test_language(spark, docs, nothing):
     assert kept.columns == frame.columns and kept.count() == len(rows) + 1
     assert langid.predict(docs, model).count() == docs.count() and langid.predict(nothing, model).count() == 0
     assert langid.fit(frame.where("lang is null")) is None
-
-
-def test_forward_sums_all_segmentations():
-    pieces = [b"a", b"b", b"ab", b"ba", b"aba"]
-    keys = np.sort(langid._keys(pieces))
-    p = np.random.default_rng(0).dirichlet(np.ones(len(pieces)))
-    by = {x: p[np.searchsorted(keys, langid._keys([x])[0])] for x in pieces}
-
-    def total(w):
-        return 1.0 if not w else sum(by[x] * total(w[len(x) :]) for x in pieces if w.startswith(x))
-
-    text = [b"abab", b"b", b"ababab", b"aa"]
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in text])])
-    words = langid.Words(np.frombuffer(b"".join(text), np.uint8), bounds[:-1], bounds[1:], bytesops.Keys(keys))
-    got = np.empty(4)
-    got[words.order] = words.log_probability(p)
-    assert np.allclose(got, [math.log(total(t)) for t in text])
-    uses = words.expected(p, np.ones(4))
-    assert math.isclose(sum(uses[np.searchsorted(keys, langid._keys([x])[0])] * len(x) for x in pieces), sum(map(len, text)), rel_tol=1e-9)

@@ -37,7 +37,32 @@ def test_stages(spark, folder):
             text = {r["doc_id"]: r["text"] for r in docs.collect()}
             assert len(passage) > 400 and all(passage[20:-20] not in text[i] for i in (44, 45))
         ids = now
-    assert {r["doc_id"]: r["size"] for r in docs.collect()} == {i: len(re.findall(r"\S+", text[i])) for i in ids}
+    assert {r["doc_id"]: (r["size"], r["text"]) for r in docs.collect()} == {i: (len(re.findall(r"\S+", text[i])), text[i]) for i in ids}
+
+
+def awkward(spark):
+    """Nulls in any column, empty, blank and very long texts, repeated rows, and extra columns with clashing names."""
+    r = random.Random(9)
+    say = lambda n: " ".join(r.choice(["the", "stone", "river", "under", "green"]) + str(r.randint(0, 500)) for _ in range(n))
+    rows = [(i, say(60), "en", "ab"[i % 2], 1) for i in range(20)]
+    rows += [(20, None, "en", "a", None), (21, "", None, None, 0), (22, " \t\n", "en", "b", 2), (None, say(50), None, None, None), (None, None, None, None, None), (23, say(60000), "en", "a", 1)]
+    rows += [rows[2], rows[2], (3, say(40), "en", "b", 1)]
+    names = ["id", "h", "node", "key", "n", "size", "nth", "rank", "score", "words", "comp", "extra"]
+    return spark.createDataFrame([(*x, *[7] * len(names)) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)), len(rows)
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_awkward_and_empty_tables(spark, folder, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    docs, n = awkward(spark)
+    out = stage(spark, docs, folder[0])
+    got = out.collect()
+    if name != "mixing":
+        assert out.columns == corpus_pipeline.COLUMNS
+    lost = {"language_id": 4, "jaccard_join": 0}.get(name, 0)
+    assert len(got) == n - lost, name
+    empty = stage(spark, docs.where("doc_id < 0"), folder[0])
+    assert empty.count() == 0 and empty.columns == out.columns
 
 
 def test_run(spark, folder):
