@@ -7,6 +7,7 @@ texts are never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,22 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 18
 
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = -1, -3  # of mallopt(3)
+
+
+def _return_memory() -> None:
+    """Let the C library give large arrays back to the system when they are freed: Python workers are reused from task to
+    task, and would keep what the largest chunk took."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):  # another C library
+        return
+    mallopt(_M_MMAP_THRESHOLD, 1 << 22)
+    mallopt(_M_TRIM_THRESHOLD, 1 << 24)
+
+
+_return_memory()
+
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _P_INV = pow(_P, -1, 1 << 64)
@@ -36,12 +53,12 @@ BYTE_CODES = mix(np.arange(1, 257, dtype=_U) * _U(_P))
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse. Tables for ordinary chunks are kept, those for a longer text are not."""
-    kept = 2 * CHUNK_BYTES + 1024
-    if n > kept:
-        return tuple(_power_table(n, base) for base in (_P, _P_INV))
-    if not _powers:
-        _powers.update({name: _power_table(kept, base) for name, base in (("p", _P), ("i", _P_INV))})
+    """Powers of the base and of its inverse; tables for a very long text go when an ordinary chunk comes."""
+    kept = (1 << 20) + 1024
+    have = len(_powers.get("p", ()))
+    if have < n or have > kept >= n:
+        _powers.clear()
+        _powers.update({name: _power_table(max(n, kept), base) for name, base in (("p", _P), ("i", _P_INV))})
     return _powers["p"], _powers["i"]
 
 

@@ -9,8 +9,7 @@ long as it is one order for all texts. Parts that many texts of a sample hold co
 passages out of the join; the sample only decides the order, no link depends on it. Texts that share a part are compared
 exactly.
 
-Texts with equal shingle sets are one node; the join works on nodes, so copies cost nothing. Sets are written once,
-and all later steps read them there.
+Texts with equal shingle sets are one node; the join works on nodes, so copies cost nothing.
 Candidates of a part are first compared with one member (a star, not all pairs). In parts whose members are
 then still in different components, those outside the part's largest component are compared with all, in tiles, where
 short dense sketches reject nearly all pairs before any exact comparison. Parts that are held by more nodes than a task
@@ -104,7 +103,7 @@ def distance(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A line for each text: its node and set size; where a task meets a node first, also the set and its sketches."""
+    """A line for each text: its node and set size; where a task meets a node first, also its sketches."""
     recent = B.Recent()
     for batch in batches:
         for at, to, data, bounds in B.chunks(batch.column("text")):
@@ -114,9 +113,8 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.zeros(len(nodes), bool)
             new[first[recent.new(distinct)]] = True
             sketches = [dense_sketch(h) if fresh and len(h) > 2 else None for h, fresh in zip(sets, new, strict=True)]
-            folds = [x and _folded(np.frombuffer(x, _U)).tobytes() for x in sketches]
-            blobs = [x and h.tobytes() for h, x in zip(sets, sketches, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array(folds, pa.binary()), pa.array(blobs, pa.binary())], ["id", "node", "n", "sketch", "fold", "hashes"])
+            folds = [_folded(np.frombuffer(x, _U)).tobytes() if x and 8 * len(x) > FOLD_BITS else x for x in sketches]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), batch.column("h").slice(at, to - at), pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array(folds, pa.binary())], ["id", "h", "node", "n", "sketch", "fold"])
 
 
 def parts(hashes: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -141,43 +139,46 @@ def parts(hashes: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
-    data, bounds = B.string_bytes(batch.column("hashes"))
-    hashes = data.view(_U)
-    return [hashes[a:b] for a, b in zip(bounds[:-1] // 8, bounds[1:] // 8, strict=True)]
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Sets of three shingles or more with their nodes, chunk by chunk; a node that a task met lately is passed over. Fewer
+    shingles are only similar enough to an equal set, which is the same node."""
+    recent = B.Recent()
+    for batch in batches:
+        for _at, _to, data, bounds in B.chunks(batch.column("text")):
+            sets = [h for h in shingles(data, bounds) if len(h) > 2]
+            nodes, first = np.unique(np.array([node_of(h) for h in sets], np.int64), return_index=True)
+            new = recent.new(nodes)
+            if len(new):
+                yield [sets[i] for i in first[new]], nodes[new]
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [k for h in _sets(batch) for k, _ in parts(h)]
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["key"])
+    for sets, _ in _fresh(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for h in sets for k, _ in parts(h)]).view(np.int64))], ["key"])
 
 
 def _emit(common: np.ndarray, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, nodes = _sets(batch), batch.column("node").to_numpy()
-            for at in range(0, len(sets), 100):
-                keys, which = [], []
-                for i in range(at, min(at + 100, len(sets))):
-                    for k, difference in parts(sets[i]):
-                        if len(k) > difference + 1:
-                            k = k[np.lexsort((k, passes(common, k)))[: difference + 1]]
-                        keys.append(k.view(np.int64))
-                        which.append(np.full(len(k), i))
-                key, which = np.concatenate(keys), np.concatenate(which)
-                salt = np.where(np.isin(key, hot), 1 + nodes[which] % SALTS, 0).astype(np.int32)
-                sizes = np.array([len(h) for h in sets], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[which]), pa.array(sizes[which]), pa.array(salt)], ["key", "node", "n", "salt"])
+        for sets, nodes in _fresh(batches):
+            keys, which = [], []
+            for i, h in enumerate(sets):
+                for k, difference in parts(h):
+                    if len(k) > difference + 1:
+                        k = k[np.lexsort((k, passes(common, k)))[: difference + 1]]
+                    keys.append(k.view(np.int64))
+                    which.append(np.full(len(k), i))
+            key, which = np.concatenate(keys), np.concatenate(which)
+            salt = np.where(np.isin(key, hot), 1 + nodes[which] % SALTS, 0).astype(np.int32)
+            sizes = np.array([len(h) for h in sets], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[which]), pa.array(sizes[which]), pa.array(salt)], ["key", "node", "n", "salt"])
 
     return run
 
 
-def _common_parts(sets: DataFrame, hot_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """A filter of the parts that most sampled nodes hold, at most COMMON of them and each held by three or more; and the
+def _common_parts(texts: DataFrame, hot_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A filter of the parts that most sampled texts hold, at most COMMON of them and each held by three or more; and the
     hot parts, which are at most as many as hot_rows goes into all rows of parts."""
-    sampled = sets.where(F.col("node") % SAMPLE == 0).mapInArrow(_sampled, "key long")
+    sampled = texts.where(F.col("h") % SAMPLE == 0).mapInArrow(_sampled, "key long")
     counts = saved(sampled.groupBy("key").agg(F.count("*").alias("n")).where("n > 2"))
     total = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.currentRow)
     by_count = counts.groupBy("n").agg(F.count("*").alias("keys")).withColumn("total", F.sum("keys").over(total))  # a row for each count
@@ -186,10 +187,13 @@ def _common_parts(sets: DataFrame, hot_rows: int) -> tuple[np.ndarray, np.ndarra
     return key_filter(counts.where(F.col("n") >= least), "key"), np.array(hot, np.int64)
 
 
-def _passing(bits: np.ndarray):
+def _sets(bits: np.ndarray):
+    """Sets of the texts whose hash the filter lets through; the others are not even cut into words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(passes(bits, batch.column("node").to_numpy())))
+        wanted = (batch.filter(pa.array(passes(bits, batch.column("h").to_numpy()))) for batch in batches)
+        for sets, nodes in _fresh(wanted):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "hashes"])
 
     return run
 
@@ -298,17 +302,17 @@ def _with(pairs: DataFrame, side: str, table: DataFrame, total: int, fits: str)
     return join_hot(pairs, table.join(uses, side), side, "uses", total, fits=fits)
 
 
-def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough: sketches rule most others out, then sets are compared."""
     pairs = saved(pairs)
     total = pairs.count()
-    sketches = nodes.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
-    first = _with(pairs, "a", sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), total, f"octet_length(x) <= {FITS}")
-    both = first.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
+    first = _with(pairs, "a", nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), total, f"octet_length(x) <= {FITS}")
+    both = first.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
     pairs = saved(both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_plausible, "a long, b long"))
     total = pairs.count()
-    bits = key_filter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node")
-    sets = saved(nodes.select("node", "hashes").mapInArrow(_passing(bits), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")))
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    bits = key_filter(nodes.join(needed, "node", "left_semi"), "h")
+    sets = saved(texts.mapInArrow(_sets(bits), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")))
     first = _with(pairs, "a", sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), total, f"octet_length(x) <= {FITS}")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return saved(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
@@ -320,8 +324,7 @@ def _still_apart(shared: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFr
     per_comp = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
     stats = per_comp.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
     stats = stats.select("key", "m", F.col("most.comp").alias("major"), (F.col("m") - F.col("most.c")).alias("minors"), F.col("m").alias("rows"))
-    folds = nodes.groupBy("node").agg(F.any_value("fold").alias("fold"))
-    mixed = written(join_hot(named, stats, "key", "rows", named.count()).join(folds, "node"))
+    mixed = written(join_hot(named, stats, "key", "rows", named.count()).join(nodes.select("node", "fold"), "node"))
     rows = ["key", "node", "n", "comp", "fold"]
     few = mixed.where(F.col("m") <= TILE).select(*rows).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, "a long, b long")
     blocks = lambda c: F.ceil(F.col(c) / TILE).cast("int")
@@ -341,26 +344,27 @@ def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hot_
     sets are linked. component_id is the smallest id reachable by links; a row with a null id is grouped like any
     other but never names a component."""
     bound_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    table = written(texts.mapInArrow(_summarise, "id long, node long, n long, sketch binary, fold binary, hashes binary"))
-    rows, nodes = table.select("id", "node", "n"), table.where("hashes is not null").drop("id")  # a node's row may be repeated
-    common, hot = _common_parts(nodes.select("node", "hashes"), hot_rows)
-    tokens = nodes.select("node", "hashes").mapInArrow(_emit(common, hot), "key long, node long, n int, salt int")
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    table = written(texts.mapInArrow(_summarise, "id long, h long, node long, n long, sketch binary, fold binary"))
+    rows = table.select("id", "node", "n")
+    nodes = written(table.where("sketch is not null").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "h", "sketch", "fold")]))
+    texts = texts.select("h", "text")
+    tokens = texts.mapInArrow(_emit(*_common_parts(texts, hot_rows)), "key long, node long, n int, salt int")
     by_key, by_size = W.partitionBy("key", "salt"), W.partitionBy("key", "salt").orderBy("n", "node")
     # of rows sorted by size, one that is not near enough in size to the next on either side has no partner
     partner = F.coalesce(4 * F.col("n") >= 3 * F.lead("n").over(by_size), F.lit(False)) | F.coalesce(4 * F.lag("n").over(by_size) >= 3 * F.col("n"), F.lit(False)) | (F.col("salt") > 0)
     partnered = tokens.withColumn("partner", partner).where("partner").drop("partner")
     shared = partnered.withColumn("first", F.min(F.struct("node", "n")).over(by_key)).withColumn("last", F.max("node").over(by_key)).where((F.col("first.node") < F.col("last")) | (F.col("salt") > 0)).select("key", "salt", "node", "n", "first")
     shared = written(shared.distinct())
-    if len(hot):  # the least node of each salt is known: at most SALTS rows for each hot part
+    if not shared.where("salt > 0").isEmpty():  # the least node of each salt is known: at most SALTS rows for each hot part
         least = shared.where("salt > 0").groupBy("key").agg(F.min("first").alias("least"))
         shared = shared.join(F.broadcast(least), "key", "left").withColumn("first", F.coalesce("least", "first")).drop("least")
     near = (4 * F.least("n", "first.n") >= 3 * F.greatest("n", "first.n")) & (F.col("node") > F.col("first.node"))
-    links = _links(shared.where(near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), nodes)
+    links = _links(shared.where(near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), nodes, texts)
     comp = components(links)
     pairs = saved(_still_apart(shared, comp, nodes))
     if not pairs.isEmpty():
-        links = links.union(_links(pairs, nodes))
+        links = links.union(_links(pairs, nodes, texts))
         comp = components(links)
 
     per_node = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
