@@ -26,14 +26,17 @@ def unit(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that tasks exchange with Python workers small: rows hold whole texts."""
+def bound_resources(spark: SparkSession) -> None:
+    """Keep the Arrow batches that tasks exchange with Python workers small: rows hold whole texts. Operators run many
+    queries one after another, so each one's shuffle files go when it is done: its result is written, nothing reads them again."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4MB")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's checkpoint folder; where none is set (tests, one machine), set one."""
+    bound_resources(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import bytesops as B
-from .common import bound_batches, join_hot, key_filter, passes, saved, written
+from .common import bound_resources, join_hot, key_filter, passes, saved, written
 from .components import components
 
 SHINGLE = 5
@@ -343,7 +343,7 @@ def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hot_
     Null and empty texts have no shingles and are linked with nothing, each a component of its own. Equal
     sets are linked. component_id is the smallest id reachable by links; a row with a null id is grouped like any
     other but never names a component."""
-    bound_batches(docs.sparkSession)
+    bound_resources(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     table = written(texts.mapInArrow(_summarise, "id long, h long, node long, n long, sketch binary, fold binary"))
     rows = table.select("id", "node", "n")

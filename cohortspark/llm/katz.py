@@ -16,7 +16,6 @@ from; (3) partitions compute alpha and answer; (4) blocks add it up to a score f
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -334,26 +333,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([stream(table.combine_chunks())], pa.binary())], ["block", "texts"])
 
 
-def _release(frame: DataFrame) -> None:
-    """Let Spark remove the shuffle files of steps that a checkpoint has replaced: it does when their plans are collected."""
-    gc.collect()
-    frame.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _run(rows: DataFrame, kind: str) -> DataFrame:
     facts = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("train").alias("docs")).first()
     bits = max(0, ((facts["bytes"] or 0) // PARTITION_BYTES).bit_length())
     asked = rows.select("train", "text").mapInArrow(_ask(bits), _ASK)
     answers = saved(asked.groupBy("kind", "part").applyInArrow(_add_up, _ANSWER))
-    del asked
-    _release(rows)
     stats = {r["kind"]: r["s"] for r in answers.where("block = -1").groupBy("kind").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(TOP + 3)]).alias("s")).collect()}
     nothing = [0] * (TOP + 3)
     model = Model(stats.get(WORD, nothing), stats.get(PAIR, nothing), facts["docs"])
     texts = rows.select("id", "train", "text").mapInArrow(_packed, "block long, texts binary")
     second = saved(texts.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_score_block(model, bits), _SECOND))
-    del texts
-    _release(rows)
     alphas = second.where("kind in (1, 2)").groupBy("part").applyInArrow(_alphas, _SECOND)
     scores = second.where("kind = 3").unionByName(alphas).groupBy("block").applyInArrow(_finish, f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scores.select("id", "train", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import bound_batches, fold, pack, unit, unpack
+from .common import bound_resources, fold, pack, unit, unpack
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SHORT = 32  # words of up to so many bytes are handled together, longer ones each by itself
@@ -189,7 +189,7 @@ def _trainer(keys: np.ndarray, longest: int, rounds: int):
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_language: int = 800, max_bytes: int = 1 << 18, rounds: int = 3, path: str = VOCABULARY) -> bytes | None:
     """Piece probabilities of every language named in `lang`, from about docs_per_language documents of each
     (texts of up to max_bytes), chosen by a hash of the id. Languages are learned independently, one task each. None if no row has a language."""
-    bound_batches(docs.sparkSession)
+    bound_resources(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
     small = rows.where(F.octet_length("text") <= max_bytes)

@@ -128,7 +128,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
             most, depth = -(-most // FAN_IN), depth + 1
         left = saved(_hand_down(level.select("rank", "item.*").join(few(here.select("rank", "below", F.col("f").alias("common"))), "rank"), seed))
         settled.append(left.select("id", "nth", "size", "rank", "base", "bit"))
-        state = state.join(few(left.select("rank", "common")), "rank", "left").select("rank", F.coalesce("common", "f").alias("f"))
+        state = saved(state.join(few(left.select("rank", "common")), "rank", "left").select("rank", F.coalesce("common", "f").alias("f")))
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)

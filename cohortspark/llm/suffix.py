@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import bytesops as B
-from .common import bound_batches, join_hot, key_filter, passes, saved
+from .common import bound_resources, join_hot, key_filter, passes, saved
 
 LENGTH, GRAM = 400, 64
 REACH = LENGTH - GRAM + 1  # offsets of the anchor in a window
@@ -313,7 +313,7 @@ def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     stay; kept is their text, without characters that a cut left incomplete. extra is a struct of the columns to carry.
     Null texts count as empty; texts shorter than LENGTH lose nothing; a repeated row is a repeated
     document. _h is the hash of the text that, with the id, is a row's key."""
-    bound_batches(docs.sparkSession)
+    bound_resources(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     whole = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("extra"))
