@@ -50,10 +50,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have size 0 and are taken no words of; rows that repeat a document are drawn one by one."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD_RUN)).cast("long")
-    texts = docs.select("doc_id", "source", "text", size.alias("size"))
-    nth = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))).cast("long")
-    drawn = mixing.mix(docs.select(*COLUMNS)).withColumnsRenamed({"doc_id": "m_id", "source": "m_source", "size": "m_size", "nth": "m_nth"})
-    both = texts.withColumn("nth", nth).join(drawn, F.expr("doc_id <=> m_id and source <=> m_source and size = m_size and nth = m_nth"))
+    key = F.xxhash64("doc_id", "source", "size")
+    texts = docs.select("doc_id", "source", "text", size.alias("size")).withColumn("k", key).repartition("k")  # texts are shuffled once, here
+    nth = F.row_number().over(W.partitionBy("k", "doc_id", "source", "size").orderBy(F.xxhash64("text"))).cast("long")
+    drawn = mixing.mix(docs.select(*COLUMNS)).withColumn("m_k", key).withColumnsRenamed({"doc_id": "m_id", "source": "m_source", "size": "m_size", "nth": "m_nth"})
+    both = texts.withColumn("nth", nth).join(drawn, F.expr("k = m_k and doc_id <=> m_id and source <=> m_source and size = m_size and nth = m_nth"))
     return both.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "text")
 
 
