@@ -57,15 +57,18 @@ def largest_resample(values: DataFrame, weights: DataFrame, keys: list[str]) ->
     return joined.groupBy(*keys, "target_vertex").agg(F.max_by("value", F.struct("weight", -F.col("source_vertex"))).alias("value"))
 
 
-def nearest_resample(targets: DataFrame, sources: DataFrame, cell: float, *, rounds: int = 40) -> DataFrame:
+def nearest_resample(targets: DataFrame, sources: DataFrame, cell: float) -> DataFrame:
     """(target, source, value, d2): every target's nearest source, the smallest id where several are as near.
 
     Points are bucketed in cubes of side `cell`. A target looks at the 27 cubes around it: a source found there at a distance
     of at most `cell` is the nearest of all. Targets without one go on with cubes twice as large, so the joins stay
-    equality joins and the work for a target follows the density around it."""
+    equality joins and the work for a target follows the density around it, however far its nearest source is. Points with
+    a null or non-finite coordinate are near nothing; without sources there are no rows."""
+    placed = F.expr("coalesce(abs(x) < double('infinity') and abs(y) < double('infinity') and abs(z) < double('infinity'), false)")
+    targets, sources = targets.where(placed), sources.where(placed)
     cube = lambda side: [F.floor(F.col(c) / side).cast("long") for c in "xyz"]
-    left, found, side = targets, None, cell
-    for _ in range(rounds):
+    left, found, side, stocked = targets, None, cell, not sources.isEmpty()
+    while True:
         around = [F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)) for i in range(3)]
         probe = left.select("target", "x", "y", "z", *[c.alias(f"c{i}") for i, c in enumerate(cube(side))])
         for i in range(3):
@@ -76,7 +79,7 @@ def nearest_resample(targets: DataFrame, sources: DataFrame, cell: float, *, rou
         best = near.groupBy("target").agg(F.min(F.struct("d2", "source", "value")).alias("m")).select("target", "m.source", "m.value", "m.d2")
         found = best if found is None else found.unionByName(best)
         left = left.join(best, "target", "left_anti")
-        if left.isEmpty():
+        if not stocked or left.isEmpty():
             break
         side *= 2
     return found

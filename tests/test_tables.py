@@ -173,3 +173,12 @@ def test_grids_against_numpy(spark):
     labels = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 1, 1)], "i int, j int, k int, label int")
     means = dict(one(grid.region_mean(frame, labels, regions, [])))
     assert math.isclose(means["one"], a[0, 0, 1]) and math.isnan(means["two"])
+
+
+def test_nearest_resample_far_and_placeless_points(spark):
+    targets = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1e15, 0.0, 0.0), (3, float("nan"), 0.0, 0.0), (4, None, 0.0, 0.0)], "target long, x double, y double, z double")
+    sources = spark.createDataFrame([(7, 0.5, 0.0, 0.0, 1.0), (8, 3.0, 0.0, 0.0, 2.0), (9, float("inf"), 0.0, 0.0, 3.0)], "source long, x double, y double, z double, value double")
+    got = {r["target"]: r["source"] for r in mesh.nearest_resample(targets.where("target <> 2"), sources, 1.0).collect()}
+    assert got == {1: 7}
+    assert {r["target"]: r["source"] for r in mesh.nearest_resample(targets.withColumn("x", F.col("x") / 1e14), sources, 1.0).collect()} == {1: 7, 2: 8}
+    assert mesh.nearest_resample(targets, sources.where("source > 100"), 1.0).count() == 0
