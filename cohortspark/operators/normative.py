@@ -77,6 +77,12 @@ def _pinv_solver(p: int):
         xty = np.concatenate([my[:, None], cxy + m * my[:, None]], 1)
         eps = np.finfo(float).eps * np.maximum(n, p + 1)
         beta = np.stack([np.linalg.pinv(a, rcond=e, hermitian=True) @ b for a, b, e in zip(xtx, xty, eps, strict=True)]) if len(rows) else np.zeros((0, p + 1))
+        scale = np.sqrt(np.einsum("nii->ni", cxx))
+        for r in np.flatnonzero((scale > 0).all(1)):  # regular points: centred and scaled, so units don't cost digits
+            corr = cxx[r] / np.outer(scale[r], scale[r])
+            if np.linalg.cond(corr) < 1e8:
+                b = np.linalg.solve(corr, cxy[r] / scale[r]) / scale[r]
+                beta[r] = [my[r] - b @ m[r], *b]
         slope = beta[:, 1:]
         residual = vy - 2 * (slope * cxy).sum(1) + np.einsum("ni,nij,nj->n", slope, cxx, slope)
         shift = beta[:, 0] + (slope * m).sum(1) - my  # not 0 when the intercept shares its column with a constant covariate

@@ -153,7 +153,10 @@ def wscore_map(spark, sf_dir):
     return _out(normative.wscore(*_split(_with_demo(spark, sf_dir)), ["hemi", "vertex"], ["AGE", "BALANCE"]), "score")
 
 
-@query("wscore_general")
+W3 = "x AS (SELECT e.*, AGE, BALANCE, CASE WHEN SEX = 'M' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS MALE FROM e JOIN dm USING (participant_id)), c AS (SELECT hemi, vertex, avg(value) AS my, avg(AGE) AS m1, avg(BALANCE) AS m2, avg(MALE) AS m3, var_pop(value) AS vy, covar_pop(AGE, value) AS y1, covar_pop(BALANCE, value) AS y2, covar_pop(MALE, value) AS y3, covar_pop(AGE, AGE) AS a, covar_pop(AGE, BALANCE) AS b, covar_pop(AGE, MALE) AS c, covar_pop(BALANCE, BALANCE) AS d, covar_pop(BALANCE, MALE) AS e, covar_pop(MALE, MALE) AS f FROM x WHERE cohort = 'control' GROUP BY ALL HAVING count(*) >= 2), i AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM c), m AS (SELECT *, ((d * f - e * e) * y1 + (c * e - b * f) * y2 + (b * e - c * d) * y3) / det AS b1, ((c * e - b * f) * y1 + (a * f - c * c) * y2 + (b * c - a * e) * y3) / det AS b2, ((b * e - c * d) * y1 + (b * c - a * e) * y2 + (a * d - b * b) * y3) / det AS b3 FROM i)"
+
+
+@query("wscore_general", "e dm", ", " + W3 + " SELECT participant_id, x.hemi, CAST(x.vertex AS BIGINT) AS vertex, round((value - my - b1 * (AGE - m1) - b2 * (BALANCE - m2) - b3 * (MALE - m3)) / sqrt(greatest(0, vy - b1 * y1 - b2 * y2 - b3 * y3)), 6) + 0.0 AS score FROM x JOIN m ON x.hemi = m.hemi AND x.vertex = m.vertex WHERE cohort = 'patient'")
 def wscore_general(spark, sf_dir):
     """Three covariates, one of them binary: moments and pseudo-inverse."""
     frame = _with_demo(spark, sf_dir).withColumn("MALE", F.when(F.col("SEX") == "M", 1.0).otherwise(0.0))
@@ -165,9 +168,21 @@ def deconfound(spark, sf_dir):
     return _out(normative.deconfound(_with_demo(spark, sf_dir), F.col("cohort") == "control", ["hemi", "vertex"], ["AGE", "BALANCE"]), "value")
 
 
-@query("patients_without_demo", "e dm", "SELECT DISTINCT participant_id FROM e WHERE cohort = 'patient' AND participant_id NOT IN (SELECT participant_id FROM dm)")
+@query("patients_without_demo", "e dm", "SELECT DISTINCT participant_id FROM e WHERE cohort = 'patient' AND participant_id NOT IN (SELECT participant_id FROM dm WHERE SITE <> 'BUILDING')")
 def patients_without_demo(spark, sf_dir):
-    return scoring.patients_without_demographics(X.surface_maps(spark, sf_dir), X.demographics(spark, sf_dir))
+    """One site sent no demographics: its patients can't have W-scores."""
+    return scoring.patients_without_demographics(X.surface_maps(spark, sf_dir), X.demographics(spark, sf_dir).where("SITE <> 'BUILDING'"))
+
+
+COHORT = ", " + ASYM + ", u AS (SELECT participant_id, cohort, 'regional' AS analysis, hemi, vertex, value FROM e UNION ALL SELECT participant_id, cohort, 'asymmetry', 'L', vertex, value FROM a), " + Z.format(k="analysis, hemi, vertex", t="u").replace("m AS", "zm AS", 1) + ", " + W2.replace("e.*", "u.*").replace("FROM e JOIN", "FROM u JOIN").replace("hemi, vertex", "analysis, hemi, vertex")
+
+
+@query("cohort_scores", "e dm", COHORT + " SELECT participant_id, hemi, CAST(vertex AS BIGINT) AS vertex, 'zscore' AS method, analysis, round((value - mu) / sd, 5) + 0.0 AS score FROM u JOIN zm USING (analysis, hemi, vertex) WHERE cohort = 'patient' AND n >= 2 UNION ALL SELECT participant_id, hemi, CAST(vertex AS BIGINT), 'wscore', analysis, round((value - my - b1 * (AGE - m1) - b2 * (BALANCE - m2)) / sqrt(greatest(0, vy - b1 * y1 - b2 * y2)), 5) + 0.0 FROM x JOIN m USING (analysis, hemi, vertex) WHERE cohort = 'patient'")
+def cohort_scores(spark, sf_dir):
+    """The whole plan by both methods: regional and asymmetry maps of every patient."""
+    e, dm = X.surface_maps(spark, sf_dir), X.demographics(spark, sf_dir)
+    both = [scoring.score_cohort(e, dm, method=m, covariates=["AGE", "BALANCE"], keys=["hemi"]) for m in scoring.METHODS]
+    return both[0].unionByName(both[1]).withColumns({"vertex": F.col("vertex").cast("bigint"), "score": rounded(F.col("score"), 5)})
 
 
 def _wide(spark, sf_dir):
@@ -179,7 +194,11 @@ def mahalanobis_f2(spark, sf_dir):
     return _out(normative.mahalanobis(*_split(_wide(spark, sf_dir)), ["hemi", "vertex"], ["f0", "f1"]), "distance")
 
 
-@query("mahalanobis")
+#: Elimination of one feature after the other: each step takes its share of the distance and leaves the others' Schur complement.
+M4 = ", w AS (SELECT participant_id, cohort, hemi, vertex, " + ", ".join(f"max(value) FILTER (depth = {i}) AS f{i}" for i in range(4)) + " FROM ed GROUP BY ALL), m AS (SELECT hemi, vertex, " + ", ".join(f"avg(f{i}) AS m{i}" for i in range(4)) + ", " + ", ".join(f"covar_samp(f{i}, f{j}) AS s{i}{j}" for i in range(4) for j in range(i, 4)) + " FROM w WHERE cohort = 'control' GROUP BY ALL), p0 AS (SELECT participant_id, hemi, vertex, s00, s01, s02, s03, s11, s12, s13, s22, s23, s33, f0 - m0 AS d0, f1 - m1 AS d1, f2 - m2 AS d2, f3 - m3 AS d3 FROM w JOIN m USING (hemi, vertex) WHERE cohort = 'patient'), p1 AS (SELECT participant_id, hemi, vertex, d0 * d0 / s00 AS q, s11 - s01 * s01 / s00 AS s11, s12 - s01 * s02 / s00 AS s12, s13 - s01 * s03 / s00 AS s13, s22 - s02 * s02 / s00 AS s22, s23 - s02 * s03 / s00 AS s23, s33 - s03 * s03 / s00 AS s33, d1 - s01 * d0 / s00 AS d1, d2 - s02 * d0 / s00 AS d2, d3 - s03 * d0 / s00 AS d3 FROM p0), p2 AS (SELECT participant_id, hemi, vertex, q + d1 * d1 / s11 AS q, s22 - s12 * s12 / s11 AS s22, s23 - s12 * s13 / s11 AS s23, s33 - s13 * s13 / s11 AS s33, d2 - s12 * d1 / s11 AS d2, d3 - s13 * d1 / s11 AS d3 FROM p1), p3 AS (SELECT participant_id, hemi, vertex, q + d2 * d2 / s22 AS q, s33 - s23 * s23 / s22 AS s33, d3 - s23 * d2 / s22 AS d3 FROM p2)"
+
+
+@query("mahalanobis", "e ed", M4 + " SELECT participant_id, hemi, CAST(vertex AS BIGINT) AS vertex, round(sqrt(q + d3 * d3 / s33), 6) + 0.0 AS distance FROM p3")
 def mahalanobis(spark, sf_dir):
     return _out(normative.mahalanobis(*_split(_wide(spark, sf_dir)), ["hemi", "vertex"], ["f0", "f1", "f2", "f3"]), "distance")
 
@@ -268,15 +287,18 @@ def ts_alff(spark, sf_dir):
     return series.alff(X.series(spark, sf_dir), ["series_id"]).select("series_id", rounded(F.col("alff"), 5).alias("alff"), rounded(F.col("falff")).alias("falff"))
 
 
-@query("ts_features", "ts", AL + TS + ", rm AS (SELECT series_id, sqrt(sum(d * d)) / (count(*) - 1) AS rmssd FROM (SELECT series_id, value - lag(value) OVER (PARTITION BY series_id ORDER BY t) AS d FROM ts) GROUP BY series_id) SELECT series_id, round(rmssd, 6) + 0.0 AS rmssd, round(timescale, 6) + 0.0 AS timescale, round(alff, 5) + 0.0 AS alff, round(alff / total, 6) + 0.0 AS falff FROM al JOIN tsc USING (series_id) JOIN rm USING (series_id)")
+FEATURES = AL + TS + ", rm AS (SELECT series_id, sqrt(sum(d * d)) / (count(*) - 1) AS rmssd FROM (SELECT series_id, value - lag(value) OVER (PARTITION BY series_id ORDER BY t) AS d FROM ts) GROUP BY series_id) SELECT series_id, round(rmssd, 6) + 0.0 AS rmssd, round(timescale, 6) + 0.0 AS timescale, round(alff, 5) + 0.0 AS alff, round(alff / total, 6) + 0.0 AS falff FROM al JOIN tsc USING (series_id) JOIN rm USING (series_id)"
+
+
+@query("ts_features", "ts", FEATURES)
 def ts_features(spark, sf_dir):
     f = series.features(X.series(spark, sf_dir), ["series_id"])
     return f.select("series_id", rounded(F.col("rmssd")).alias("rmssd"), rounded(F.col("timescale")).alias("timescale"), rounded(F.col("alff"), 5).alias("alff"), rounded(F.col("falff")).alias("falff"))
 
 
-@query("ts_features_packed", "ts", "SELECT count(DISTINCT series_id) AS n_series, count(*) AS n_points FROM ts")
+@query("ts_features_packed", "ts", FEATURES)
 def ts_features_packed(spark, sf_dir):
-    """Series as arrays, for long series: how many there are and their points."""
+    """The same features of series held as arrays, the form for long series."""
     packed = X.series(spark, sf_dir).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("values"))
-    done = series.packed_features(packed.withColumn("n", F.size("values")), ["series_id", "n"])
-    return done.where("rmssd >= 0 or isnan(rmssd)").agg(F.count("*").alias("n_series"), F.sum("n").alias("n_points"))
+    f = series.packed_features(packed, ["series_id"])
+    return f.select("series_id", rounded(F.col("rmssd")).alias("rmssd"), rounded(F.col("timescale")).alias("timescale"), rounded(F.col("alff"), 5).alias("alff"), rounded(F.col("falff")).alias("falff"))
