@@ -19,16 +19,16 @@ def region_mean(values: DataFrame, labels: DataFrame, regions: DataFrame, volume
     return every.join(means, [*volume, "label"], "left").select(*volume, "region", F.coalesce("value", F.lit(float("nan"))).alias("value"))
 
 
-def trilinear(points: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+def trilinear(points: DataFrame, values: DataFrame, keys: list[str], volume: list[str] = []) -> DataFrame:  # noqa: B006
     """(keys, value): values interpolated at points x, y, z in voxel units; voxels that aren't there count as 0. Each point
-    asks for its eight corners by an equality join."""
+    asks for its eight corners by an equality join, within its volume if there are several (volume is part of keys)."""
     low = points.select(*keys, *[F.floor(c).cast("long").alias(a) for a, c in zip(AXES, "xyz", strict=True)], *[(F.col(c) - F.floor(c)).alias(f"f{c}") for c in "xyz"])
     corners = low
     for a, c in zip(AXES, "xyz", strict=True):
         corners = corners.withColumn("o", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(a, F.col(a) + F.col("o")).withColumn(f"f{c}", F.when(F.col("o") == 1, F.col(f"f{c}")).otherwise(1 - F.col(f"f{c}"))).drop("o")
-    typed = values.select(*[F.col(a).cast("long").alias(a) for a in AXES], "value")
+    typed = values.select(*volume, *[F.col(a).cast("long").alias(a) for a in AXES], "value")
     weight = F.col("fx") * F.col("fy") * F.col("fz")
-    return corners.join(typed, [*AXES], "left").groupBy(*keys).agg(F.sum(weight * F.coalesce("value", F.lit(0.0))).alias("value"))
+    return corners.join(typed, [*volume, *AXES], "left").groupBy(*keys).agg(F.sum(weight * F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
 def affine_points(points: DataFrame, affine: np.ndarray) -> DataFrame:

@@ -95,6 +95,12 @@ def run_status(status: DataFrame, subject: str) -> DataFrame:
     return status.groupBy("status").agg(F.count("*").alias("n"), F.min(subject).alias("first"))
 
 
+def failed(status: DataFrame, subject: list[str], reason: str) -> DataFrame:
+    """(subject, reasons): the subjects of a run with a failed step and their reasons, sorted and comma-joined; a table, as long as it
+    may be."""
+    return status.where("status = 'failed'").groupBy(*subject).agg(F.array_join(F.array_sort(F.collect_set(reason)), ",").alias("reasons"))
+
+
 def combinations(scores: DataFrame, analyses: list[str], features: DataFrame, feature: str) -> DataFrame:
     """(analysis, feature) pairs with scores in at least one structure."""
     grid = features.select(feature).distinct().select(feature, F.explode(F.array(*[F.lit(a) for a in analyses])).alias("analysis"))

@@ -166,7 +166,16 @@ def mahalanobis(controls: DataFrame, patients: DataFrame, keys: list[str], featu
         for i in range(f):
             for j in range(i, f):
                 s[:, i, j] = s[:, j, i] = rows[f"s{i}_{j}"].to_numpy(float)
-        return pd.Series(np.sqrt(np.maximum(0, np.einsum("ni,nij,nj->n", d, np.linalg.pinv(s, hermitian=True), d))) if len(rows) else np.zeros(0))
+        sd = np.sqrt(np.einsum("nii->ni", s))
+        unit = np.where((sd > 0) & np.isfinite(sd), sd, 1.0)  # scaled where the matrix is regular, so units don't cost digits
+        corr = s / (unit[:, :, None] * unit[:, None, :])
+        regular = np.isfinite(corr).all((1, 2))
+        regular[regular] = np.linalg.cond(corr[regular]) < 1e8
+        square = np.empty(len(rows))
+        z = d / unit
+        square[regular] = (z[regular] * np.linalg.solve(corr[regular], z[regular][:, :, None])[:, :, 0]).sum(1)
+        square[~regular] = np.einsum("ni,nij,nj->n", d[~regular], np.linalg.pinv(s[~regular], hermitian=True), d[~regular])
+        return pd.Series(np.sqrt(np.maximum(0, square)))
 
     with_d = joined.withColumns({f"d{i}": F.col(c) - F.col(f"m{i}") for i, c in enumerate(features)})
     general = lambda rows: rows.select(*subject, *keys, F.pandas_udf(solve, "double")(F.struct(*[F.col(f"d{i}") for i in range(f)], *[F.col(f"s{i}_{j}") for i in range(f) for j in range(i, f)])).alias("distance"))
@@ -178,6 +187,34 @@ def mahalanobis(controls: DataFrame, patients: DataFrame, keys: list[str], featu
     return with_d.where(regular).select(*subject, *keys, closed.alias("distance")).unionByName(general(with_d.where(~regular)))
 
 
+def in_every_feature(frame: DataFrame, features: list[str], *, feature: str = "feature", subject: list[str] = SUBJECT) -> DataFrame:
+    """Rows of subjects that have all the features: distances need every one of them."""
+    wanted = frame.where(F.col(feature).isin(features))
+    full = wanted.groupBy(*subject).agg(F.count_distinct(feature).alias("_n")).where(F.col("_n") == len(set(features))).select(*subject)
+    return wanted.join(full, subject, "left_semi")
+
+
+def mahalanobis_maps(frame: DataFrame, keys: list[str], features: list[str], *, depths: list[int] | None = None, feature: str = "feature", analyses: tuple[str, ...] = ("regional", "asymmetry"), subject: list[str] = SUBJECT) -> DataFrame:
+    """(subject, keys, analysis, distance) of patients, from long maps with cohort, hemi, feature and, if depths are given, depth.
+
+    Every depth of a feature counts as a feature of its own. Subjects without one of the features drop out, and so do points where
+    one of a subject's values is missing. Asymmetry maps have hemi L."""
+    common = in_every_feature(frame, features, feature=feature, subject=subject)
+    layer = ["depth"] if depths else []
+    columns = [f"{f}_{d}" for f in features for d in depths] if depths else list(features)
+    stacked = F.concat_ws("_", feature, *layer)
+    out = None
+    for analysis in analyses:
+        maps = common
+        if analysis == "asymmetry":
+            rest = [k for k in keys if k != "hemi"]
+            maps = asymmetry_maps(common, [*subject, "cohort", *rest, feature, *layer]).withColumn("hemi", F.lit("L"))
+        wide = maps.withColumn("_f", stacked).groupBy(*subject, "cohort", *keys).pivot("_f", columns).agg(F.first("value")).dropna(subset=columns)
+        got = mahalanobis(wide.where("cohort = 'control'"), wide.where("cohort = 'patient'"), keys, columns, subject=subject).select(*subject, *keys, F.lit(analysis).alias("analysis"), "distance")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def asymmetry_maps(frame: DataFrame, keys: list[str], *, hemi: str = "hemi") -> DataFrame:
     """(keys, value): left/right asymmetry where both sides are there; one grouped pass, no self-join."""
     sides = frame.groupBy(*keys).agg(F.max(F.when(F.col(hemi) == "L", F.col("value"))).alias("l"), F.max(F.when(F.col(hemi) == "R", F.col("value"))).alias("r"))

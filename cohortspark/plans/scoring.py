@@ -5,6 +5,8 @@ hemispheres or patients. Controls are aggregated to a model once and patients ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,15 +55,21 @@ def patients_without_demographics(measurements: DataFrame, demographics: DataFra
     return measurements.where("cohort = 'patient'").select(*subject).distinct().join(demographics, subject, "left_anti")
 
 
-def run_pipeline(measurements: DataFrame, demographics: DataFrame, expected: DataFrame, *, covariates: list[str], method: str = "wscore", keys: list[str] = MAP_KEYS, subject: list[str] = ["participant_id"], on: list[str] | None = None, error_below: float = 0.0) -> dict[str, DataFrame]:  # noqa: B006
+def run_pipeline(measurements: DataFrame, demographics: DataFrame, expected: DataFrame, *, covariates: list[str], method: str = "wscore", keys: list[str] = MAP_KEYS, subject: list[str] = ["participant_id"], on: list[str] | None = None, error_below: float = 0.0, derive: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:  # noqa: B006
     """Validate, score and summarise: a dict of lazy frames `validation`, `missing`, `scores` and `summary`.
 
-    `expected` has the map keys each subject should have. The only action is the validation verdict, one row; the
-    run stops if no subject is complete, or fewer than error_below percent are."""
+    `expected` has the map keys each subject should have. The only action is the validation verdict, one row. Where no
+    subject is complete, or fewer than error_below percent are, `derive` gets the missing rows of `expected` and returns
+    their measurements, and the whole is validated again; the run stops if it is still not complete enough."""
     on = on or [*subject, *[k for k in keys if k in expected.columns]]
     grid = inventory.presence(expected, measurements, on)
     verdict = inventory.validation_summary(grid, subject, error_below)
     row = verdict.first()
+    if row["verdict"] == "error" and derive is not None:
+        measurements = measurements.unionByName(derive(inventory.missing(expected, measurements, on)))
+        grid = inventory.presence(expected, measurements, on)
+        verdict = inventory.validation_summary(grid, subject, error_below)
+        row = verdict.first()
     if row["verdict"] == "error":
         raise ValueError(f"{row['complete']} of {row['subjects']} subjects are complete")
     scores = score_cohort(measurements, demographics, method=method, covariates=covariates, keys=keys, subject=subject)

@@ -126,6 +126,14 @@ def age_bin(age: Column, least: Column) -> Column:
     return F.greatest(F.floor(least / 5) * 5, F.ceil(age / 5) * 5 - 5).cast("int")
 
 
+def own_age_bins(frame: DataFrame, subjects: DataFrame, age: str, sex: str, keys: list[str]) -> DataFrame:
+    """(keys, bin, label, n_female, n_male, own): the histogram of `frame` for each of the subjects, their own bin flagged; an age
+    outside of the histogram flags none. The histogram has a row for every five years, so it is broadcast."""
+    least = frame.agg(F.min(age).alias("_lo"))  # one row
+    placed = subjects.crossJoin(F.broadcast(least)).select(*keys, F.when(F.col(age) >= F.floor(F.col("_lo") / 5) * 5, age_bin(F.col(age), F.col("_lo"))).alias("_own"))
+    return placed.crossJoin(F.broadcast(age_histogram(frame, age, sex))).select(*keys, "bin", "label", "n_female", "n_male", F.coalesce(F.col("bin") == F.col("_own"), F.lit(False)).alias("own"))
+
+
 def age_histogram(frame: DataFrame, age: str, sex: str) -> DataFrame:
     """(bin, label, n_female, n_male) for every bin from the lowest to the highest, empty ones included."""
     ends = frame.agg(F.min(age).alias("lo"), F.max(age).alias("hi"))
