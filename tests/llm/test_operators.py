@@ -419,6 +419,38 @@ the License."""
     assert [(r["sentence_ids"], r["licences"]) for r in got] == [tuple(want) for _, *want in cases]
 
 
+def test_licences_of_full_texts_and_gaps(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\nlist of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\nthis list of conditions and the following disclaimer in the documentation\nand/or other materials provided with the distribution.\n"
+    advert = "\n3. All advertising materials mentioning features or use of this software must\ndisplay the following acknowledgement:\nThis product includes software of a body.\n"
+    endorse = "\n3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from this\nsoftware without specific prior written permission.\n"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
+    gpl = "This program is free software{0} you can redistribute it and/or modify\n it under the terms of the GNU {1}General Public License as published by\n the Free Software Foundation{2} either version {3} of the License, or\n (at your option) any later version."
+    cases = [
+        (bsd, "BSD-2-Clause"),
+        (bsd + endorse, "BSD-3-Clause"),
+        (bsd + advert + endorse, "BSD-4-Clause"),
+        (bsd.replace("1. Redist", "All rights reserved.\n\n1. Redist"), "AllRightsReserved,BSD-2-Clause"),
+        (endorse + bsd, "BSD-2-Clause"),
+        (isc + ", provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+        (isc + ".", "0BSD"),
+        (gpl.format(";", "", ";", 2), "GPL-2.0-or-later"),
+        (gpl.format(":", "", ",", 3), "GPL-3.0-or-later"),
+        (gpl.format(";", "Lesser ", ";", 2.1), "LGPL-2.1-or-later"),
+        (gpl.format(":", "Affero ", ",", 3), "AGPL-3.0-or-later"),
+        ("GNU GENERAL PUBLIC LICENSE\n    Version 2, June 1991", "GPL-2.0"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007", "LGPL-3.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "MPL-2.0"),
+        ("This software is provided 'as-is', without any express or implied\nwarranty. Nobody is liable. Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", "Zlib"),
+        ("Creative Commons Attribution-ShareAlike 4.0 International Public License", "CC-BY-SA-4.0"),
+        ("Version 2, June 1991", ""),
+    ]
+    got = licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licences"] for r in got] == [want for _, want in cases]
+    assert len({name for name, _ in licences.ALL_RULES}) >= 40 and all(i == licences.GAP or i in licences.KNOWN for _, ids in licences.ALL_RULES for i in ids)
+    words = [" ".join(re.findall("[a-z0-9]+", x)) == x for x in licences.KNOWN.values()]
+    assert all(words) and len(set(licences.KNOWN.values())) == len(words)
+
+
 def labelled(spark, n=400):
     r, words = random.Random(8), vocabulary(2, 200)
     rows = []
