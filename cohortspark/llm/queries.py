@@ -13,6 +13,7 @@ from .quality import op10_quality
 from .suffix import op6_suffix
 from .toxicity import op1_toxicity
 from .vectors import op7_vectors
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op5_licences": licences.oracle(), "op7_vectors": vectors.ORACLE, "op8_jaccard": jaccard.ORACLE}
