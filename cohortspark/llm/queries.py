@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, licences, vectors
+from . import decontaminate, jaccard, licences, rules, vectors
 from .decontaminate import op2_decontamination
 from .jaccard import op8_jaccard
 from .katz import op3_katz
@@ -10,6 +10,7 @@ from .langid import op4_language
 from .licences import op5_licences
 from .mixing import op9_mixing
 from .quality import op10_quality
+from .rules import op12_rules
 from .suffix import op6_suffix
 from .toxicity import op1_toxicity
 from .vectors import op7_vectors
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op12_rules": op12_rules,
     "op13_whitening": op13_whitening,
 }
-ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op5_licences": licences.oracle(), "op7_vectors": vectors.ORACLE, "op8_jaccard": jaccard.ORACLE}
+ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op5_licences": licences.oracle(), "op7_vectors": vectors.ORACLE, "op8_jaccard": jaccard.ORACLE, "op12_rules": rules.oracle()}
