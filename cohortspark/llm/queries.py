@@ -9,6 +9,7 @@ from .katz import op3_katz
 from .langid import op4_language
 from .licences import op5_licences
 from .mixing import op9_mixing
+from .periodic import op11_periodic
 from .quality import op10_quality
 from .rules import op12_rules
 from .suffix import op6_suffix
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_periodic": op11_periodic,
     "op12_rules": op12_rules,
     "op13_whitening": op13_whitening,
 }
