@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cohortspark.functions.scores import no_nan
+from cohortspark.operators import bricks
+from cohortspark.operators.bricks import box_mean as box_mean  # a grid operator like the others
 
 AXES = ("i", "j", "k")
 
@@ -20,15 +22,9 @@ def region_mean(values: DataFrame, labels: DataFrame, regions: DataFrame, volume
 
 
 def trilinear(points: DataFrame, values: DataFrame, keys: list[str], volume: list[str] = []) -> DataFrame:  # noqa: B006
-    """(keys, value): values interpolated at points x, y, z in voxel units; voxels that aren't there count as 0. Each point
-    asks for its eight corners by an equality join, within its volume if there are several (volume is part of keys)."""
-    low = points.select(*keys, *[F.floor(c).cast("long").alias(a) for a, c in zip(AXES, "xyz", strict=True)], *[(F.col(c) - F.floor(c)).alias(f"f{c}") for c in "xyz"])
-    corners = low
-    for a, c in zip(AXES, "xyz", strict=True):
-        corners = corners.withColumn("o", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(a, F.col(a) + F.col("o")).withColumn(f"f{c}", F.when(F.col("o") == 1, F.col(f"f{c}")).otherwise(1 - F.col(f"f{c}"))).drop("o")
-    typed = values.select(*volume, *[F.col(a).cast("long").alias(a) for a in AXES], "value")
-    weight = F.col("fx") * F.col("fy") * F.col("fz")
-    return corners.join(typed, [*volume, *AXES], "left").groupBy(*keys).agg(F.sum(weight * F.coalesce("value", F.lit(0.0))).alias("value"))
+    """(keys, value): values interpolated at points x, y, z in voxel units; voxels that aren't there count as 0. The volumes are
+    packed in bricks, and each point joins one of them, within its volume if there are several (volume is part of keys)."""
+    return bricks.trilinear(points, bricks.pack(values, volume), keys, volume)
 
 
 def affine_points(points: DataFrame, affine: np.ndarray) -> DataFrame:
@@ -37,20 +33,9 @@ def affine_points(points: DataFrame, affine: np.ndarray) -> DataFrame:
     return points.withColumns({n: row(r) for r, n in enumerate("xyz")})
 
 
-def enclosing_voxel(points: DataFrame, values: DataFrame, affine: np.ndarray, keys: list[str]) -> DataFrame:
+def enclosing_voxel(points: DataFrame, values: DataFrame, affine: np.ndarray, keys: list[str], volume: list[str] = []) -> DataFrame:  # noqa: B006
     """The value of the voxel that encloses each moved point; null outside the volume."""
-    moved = affine_points(points, affine).select(*keys, *[F.floor(F.col(c) + 0.5).cast("long").alias(a) for a, c in zip(AXES, "xyz", strict=True)])
-    return moved.join(values.select(*[F.col(a).cast("long").alias(a) for a in AXES], "value"), [*AXES], "left").select(*keys, "value")
-
-
-def box_mean(values: DataFrame, volume: list[str]) -> DataFrame:
-    """Mean over the 3 x 3 x 3 box of the voxels that are there and not NaN, at every voxel of the volume."""
-    offsets = [F.explode(F.sequence(F.col(a) - 1, F.col(a) + 1)) for a in AXES]
-    spread = values.where(~F.isnan("value"))
-    for a, e in zip(AXES, offsets, strict=True):
-        spread = spread.withColumn(a, e)
-    sums = spread.groupBy(*volume, *AXES).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    return values.select(*volume, *AXES).join(sums, [*volume, *AXES], "left").select(*volume, *AXES, F.coalesce(F.col("s") / F.col("n"), F.lit(float("nan"))).alias("value"))
+    return bricks.enclosing(affine_points(points, affine), bricks.pack(values, volume), keys, volume)
 
 
 def gradient(values: DataFrame, volume: list[str], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:

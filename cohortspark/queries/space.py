@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortspark import fixtures as X
 from cohortspark.functions.scores import rounded
-from cohortspark.operators import grid, mesh
+from cohortspark.operators import bricks, grid, mesh
+from cohortspark.operators.bricks import AXES
 
 QUERIES, ORACLES = {}, {}
 
@@ -52,10 +53,34 @@ def affine_nearest_voxel(spark, sf_dir):
     return _r(grid.enclosing_voxel(_points(spark, sf_dir), X.voxels(spark, sf_dir), turn, ["id"]), "value")
 
 
-@query("box_mean_3d", "vox", "SELECT CAST(a.i AS BIGINT) AS i, CAST(a.j AS BIGINT) AS j, CAST(a.k AS BIGINT) AS k, round(avg(b.value), 6) + 0.0 AS value FROM vox a JOIN vox b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 GROUP BY ALL")
+BOX = "SELECT CAST(a.i AS BIGINT) AS i, CAST(a.j AS BIGINT) AS j, CAST(a.k AS BIGINT) AS k, round({mean}, 6) + 0.0 AS value FROM v a JOIN v b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 GROUP BY ALL"
+HOLES = ", v AS (SELECT i, j, k, CASE WHEN label % 5 = 0 THEN 'NaN'::DOUBLE ELSE value END AS value FROM vox WHERE label % 7 <> 3)"
+
+
+def _box(frame):
+    return grid.box_mean(frame, []).select(*AXES, rounded(F.col("value")).alias("value"))
+
+
+@query("box_mean_3d", "vox", ", v AS (SELECT * FROM vox) " + BOX.format(mean="sum(b.value) / 27"))
 def box_mean_3d(spark, sf_dir):
-    out = grid.box_mean(X.voxels(spark, sf_dir).drop("label"), [])
-    return out.select(*[F.col(a).cast("bigint").alias(a) for a in "ijk"], rounded(F.col("value")).alias("value"))
+    """A volume without NaN: zeros beyond its border, so every sum is over 27."""
+    return _box(X.voxels(spark, sf_dir).drop("label"))
+
+
+@query("box_mean_holes", "vox", HOLES + " " + BOX.format(mean="coalesce(avg(b.value) FILTER (NOT isnan(b.value)), 'NaN'::DOUBLE)"))
+def box_mean_holes(spark, sf_dir):
+    """A volume with NaN and with voxels missing: the mean is over what is there."""
+    return _box(X.voxels(spark, sf_dir).where("label % 7 <> 3").withColumn("value", F.when(F.col("label") % 5 == 0, float("nan")).otherwise(F.col("value"))).drop("label"))
+
+
+@query("trilinear_volumes", "vox", POINTS + ", vol AS (SELECT label % 3 AS volume, i, j, k, value FROM vox UNION ALL SELECT 3, i, j, k, -value FROM vox), q AS (SELECT volume, id, x - 0.75 AS x, y, z FROM p, (VALUES (0), (1), (2), (3)) w(volume)), c AS (SELECT volume, id, CAST(floor(x) AS INTEGER) + a AS i, CAST(floor(y) AS INTEGER) + b AS j, CAST(floor(z) AS INTEGER) + c AS k, (CASE WHEN a = 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) * (CASE WHEN b = 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE WHEN c = 1 THEN z - floor(z) ELSE 1 - z + floor(z) END) AS w FROM q, (VALUES (0), (1)) aa(a), (VALUES (0), (1)) bb(b), (VALUES (0), (1)) cc(c)) SELECT CAST(volume AS BIGINT) AS volume, id, round(sum(w * coalesce(value, 0)), 6) + 0.0 AS value FROM c LEFT JOIN vol USING (volume, i, j, k) GROUP BY volume, id")
+def trilinear_volumes(spark, sf_dir):
+    """Four volumes in one table of bricks, three of them with gaps, sampled at the same points, some beyond the border."""
+    v = X.voxels(spark, sf_dir)
+    packed = bricks.pack(v.withColumn("volume", F.col("label") % 3).unionByName(v.withColumns({"volume": F.lit(3), "value": -F.col("value")})), ["volume"])
+    points = _points(spark, sf_dir).withColumns({"x": F.col("x") - 0.75, "volume": F.explode(F.array(*map(F.lit, range(4))))})
+    out = bricks.trilinear(points, packed, ["volume", "id"], ["volume"])
+    return _r(out.withColumn("volume", F.col("volume").cast("bigint")), "value")
 
 
 def _slope(axis: str, size: float) -> str:
