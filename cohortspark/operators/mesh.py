@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cohortspark.functions.scores import no_nan
+from cohortspark.operators.nearest import nearest_resample as nearest_resample  # a way of resampling like the others
 
 
 def edges(triangles: DataFrame, surface: list[str]) -> DataFrame:
@@ -42,7 +41,7 @@ def smooth(values: DataFrame, points: DataFrame, edge: DataFrame, surface: list[
     weights = reach.join(at("a"), [*surface, "a"]).join(at("b"), [*surface, "b"]).select(*surface, "a", "b", F.exp(-apart / (2 * sigma * sigma)).alias("w"))
     own = values.withColumnRenamed("vertex", "b")
     maps = [c for c in values.columns if c not in {*surface, "vertex", "value"}]
-    return own.join(weights, [*surface, "b"]).groupBy(*surface, *maps, "a").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value")).withColumnRenamed("a", "vertex")
+    return own.join(weights, [*surface, "b"]).groupBy(*surface, *maps, "a").agg((F.sum(F.col("w") * F.col("value")) / F.sum(F.when(F.col("value").isNotNull(), F.col("w")))).alias("value")).withColumnRenamed("a", "vertex")
 
 
 def weighted_resample(values: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,43 +56,6 @@ def largest_resample(values: DataFrame, weights: DataFrame, keys: list[str]) ->
     return joined.groupBy(*keys, "target_vertex").agg(F.max_by("value", F.struct("weight", -F.col("source_vertex"))).alias("value"))
 
 
-def nearest_resample(targets: DataFrame, sources: DataFrame, cell: float) -> DataFrame:
-    """(target, source, value, d2): every target's nearest source, the smallest id where several are as near.
-
-    Points are bucketed in cubes of side `cell`. A target looks at the 27 cubes around it: a source found there at a distance
-    of at most `cell` is the nearest of all. Targets without one go on with cubes twice as large, so the joins stay
-    equality joins and the work for a target follows the density around it, however far its nearest source is. Points with
-    a null or non-finite coordinate are near nothing; without sources there are no rows."""
-    placed = F.expr("coalesce(abs(x) < double('infinity') and abs(y) < double('infinity') and abs(z) < double('infinity'), false)")
-    targets, sources = targets.where(placed), sources.where(placed)
-    cube = lambda side: [F.floor(F.col(c) / side).cast("long") for c in "xyz"]
-    left, found, side, stocked = targets, None, cell, not sources.isEmpty()
-    while True:
-        around = [F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)) for i in range(3)]
-        probe = left.select("target", "x", "y", "z", *[c.alias(f"c{i}") for i, c in enumerate(cube(side))])
-        for i in range(3):
-            probe = probe.withColumn(f"c{i}", around[i])
-        stock = sources.select("source", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "value", *[c.alias(f"c{i}") for i, c in enumerate(cube(side))])
-        d2 = F.expr("(x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)")
-        near = probe.join(stock, ["c0", "c1", "c2"]).withColumn("d2", d2).where(F.col("d2") <= side * side)
-        best = near.groupBy("target").agg(F.min(F.struct("d2", "source", "value")).alias("m")).select("target", "m.source", "m.value", "m.d2")
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best, "target", "left_anti")
-        if not stocked or left.isEmpty():
-            break
-        side *= 2
-    return found
-
-
-def cell_for(sources: DataFrame, per_cell: float = 8.0) -> float:
-    """A cube side that holds about per_cell sources, from their bounding box."""
-    r = sources.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
-    extents = [r[c] for c in "xyz" if r[c]]
-    if not extents:
-        return 1.0
-    return (math.prod(extents) * per_cell / max(1, r["n"])) ** (1 / len(extents))
-
-
 def region_to_vertex(regions: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     """A region's value at each of its vertices; regions without a value are 0."""
     maps = regions.select(*keys).distinct()

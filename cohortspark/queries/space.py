@@ -133,7 +133,7 @@ def nearest_resample(spark, sf_dir):
     s = F.col("s_suppkey")
     targets = X.table(spark, sf_dir, "supplier").select(s.alias("target"), (s * 7 % 200 / 10.0).alias("x"), (s * 13 % 97 / 10.0).alias("y"), F.lit(0.5).alias("z"))
     sources = X.mesh_vertices(spark, sf_dir).withColumnRenamed("vertex", "source")
-    out = mesh.nearest_resample(targets, sources, mesh.cell_for(sources))
+    out = mesh.nearest_resample(targets, sources, 64)
     return out.select("target", "source", rounded(F.col("value")).alias("value"))
 
 

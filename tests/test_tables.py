@@ -117,7 +117,7 @@ def test_nearest_is_exact(spark):
     s, t = r.normal(size=(200, 3)) * [5, 5, 0.1], np.vstack([r.normal(size=(30, 3)) * 6, [[100, 100, 100]]])
     source = spark.createDataFrame([(i, *map(float, p), float(i)) for i, p in enumerate(s)], "source int, x double, y double, z double, value double")
     target = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(t)], "target int, x double, y double, z double")
-    got = {x["target"]: x["source"] for x in mesh.nearest_resample(target, source, mesh.cell_for(source)).collect()}
+    got = {x["target"]: x["source"] for x in mesh.nearest_resample(target, source).collect()}
     assert got == {i: int(((s - p) ** 2).sum(1).argmin()) for i, p in enumerate(t)}
 
 
@@ -178,7 +178,7 @@ def test_grids_against_numpy(spark):
 def test_nearest_resample_far_and_placeless_points(spark):
     targets = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1e15, 0.0, 0.0), (3, float("nan"), 0.0, 0.0), (4, None, 0.0, 0.0)], "target long, x double, y double, z double")
     sources = spark.createDataFrame([(7, 0.5, 0.0, 0.0, 1.0), (8, 3.0, 0.0, 0.0, 2.0), (9, float("inf"), 0.0, 0.0, 3.0)], "source long, x double, y double, z double, value double")
-    got = {r["target"]: r["source"] for r in mesh.nearest_resample(targets.where("target <> 2"), sources, 1.0).collect()}
+    got = {r["target"]: r["source"] for r in mesh.nearest_resample(targets.where("target <> 2"), sources, 2).collect()}
     assert got == {1: 7}
-    assert {r["target"]: r["source"] for r in mesh.nearest_resample(targets.withColumn("x", F.col("x") / 1e14), sources, 1.0).collect()} == {1: 7, 2: 8}
-    assert mesh.nearest_resample(targets, sources.where("source > 100"), 1.0).count() == 0
+    assert {r["target"]: r["source"] for r in mesh.nearest_resample(targets.withColumn("x", F.col("x") / 1e14), sources, 2).collect()} == {1: 7, 2: 8}
+    assert mesh.nearest_resample(targets, sources.where("source > 100"), 2).count() == 0
