@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cohortspark.functions.scores import no_nan
+from cohortspark.operators import geodesic
 from cohortspark.operators.nearest import nearest_resample as nearest_resample  # a way of resampling like the others
 
 
@@ -39,9 +40,21 @@ def smooth(values: DataFrame, points: DataFrame, edge: DataFrame, surface: list[
     at = lambda n: points.select(*surface, F.col("vertex").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in "xyz"])
     apart = sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) * (F.col(f"{c}_a") - F.col(f"{c}_b")) for c in "xyz"), F.lit(0.0))
     weights = reach.join(at("a"), [*surface, "a"]).join(at("b"), [*surface, "b"]).select(*surface, "a", "b", F.exp(-apart / (2 * sigma * sigma)).alias("w"))
+    return blended(values, weights, surface)
+
+
+def smooth_along(values: DataFrame, points: DataFrame, edge: DataFrame, surface: list[str], sigma: float, reach: float | None = None) -> DataFrame:
+    """As `smooth`, with weights of the distance along the surface, to all vertices within `reach` (3 sigma) of it: the two
+    banks of a fold don't mix."""
+    return blended(values, geodesic.kernel(points, edge, surface, sigma, reach), surface)
+
+
+def blended(values: DataFrame, weights: DataFrame, surface: list[str]) -> DataFrame:
+    """sum(w * value) / sum(w) at every vertex a, over the vertices b that have a value; null if none has."""
     own = values.withColumnRenamed("vertex", "b")
     maps = [c for c in values.columns if c not in {*surface, "vertex", "value"}]
-    return own.join(weights, [*surface, "b"]).groupBy(*surface, *maps, "a").agg((F.sum(F.col("w") * F.col("value")) / F.sum(F.when(F.col("value").isNotNull(), F.col("w")))).alias("value")).withColumnRenamed("a", "vertex")
+    share = F.sum(F.col("w") * F.col("value")) / F.sum(F.when(F.col("value").isNotNull(), F.col("w")))
+    return own.join(weights, [*surface, "b"]).groupBy(*surface, *maps, "a").agg(share.alias("value")).withColumnRenamed("a", "vertex")
 
 
 def weighted_resample(values: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark import fixtures as X
 from cohortspark.functions.scores import rounded
-from cohortspark.operators import bricks, grid, mesh
+from cohortspark.operators import bricks, geodesic, grid, mesh, weights
 from cohortspark.operators.bricks import AXES
 
 QUERIES, ORACLES = {}, {}
@@ -128,6 +128,27 @@ def mesh_smooth(spark, sf_dir):
     return _r(mesh.smooth(v.select("vertex", "value"), v.select("vertex", "x", "y", "z"), _edges(spark, sf_dir), [], 1.5, hops=2), "value")
 
 
+LENGTH = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z))"
+#: Edges are 1 or longer, so paths of up to 3.2 have three edges at most.
+PATHS = f", g AS (SELECT a, b, {LENGTH} AS d FROM me JOIN mv p ON p.vertex = a JOIN mv q ON q.vertex = b), two AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM g x JOIN g y ON x.b = y.a GROUP BY ALL), three AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM two x JOIN g y ON x.b = y.a GROUP BY ALL), geo AS (SELECT a, b, min(d) AS d FROM (SELECT vertex AS a, vertex AS b, 0.0 AS d FROM mv UNION ALL SELECT * FROM g UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) WHERE d <= 3.2 GROUP BY a, b)"
+
+
+def _sheet(spark, sf_dir):
+    return X.mesh_vertices(spark, sf_dir).select("vertex", "x", "y", "z"), _edges(spark, sf_dir)
+
+
+@query("mesh_distances", "mv mt me", PATHS + " SELECT a, b, round(d, 6) + 0.0 AS distance FROM geo")
+def mesh_distances(spark, sf_dir):
+    return _r(geodesic.distances(*_sheet(spark, sf_dir), [], 3.2), "distance")
+
+
+@query("mesh_smooth_along", "mv mt me", PATHS + ", m AS (SELECT vertex, CASE WHEN vertex % 11 > 2 THEN value END AS value FROM mv) SELECT a AS vertex, round(sum(exp(-d * d / (2 * 1.2 * 1.2)) * value) / sum(exp(-d * d / (2 * 1.2 * 1.2))) FILTER (value IS NOT NULL), 6) + 0.0 AS value FROM geo JOIN m ON m.vertex = b GROUP BY a")
+def mesh_smooth_along(spark, sf_dir):
+    """Weights of the distance along the sheet, over the vertices that have a value."""
+    values = X.mesh_vertices(spark, sf_dir).select("vertex", F.when(F.col("vertex") % 11 > 2, F.col("value")).alias("value"))
+    return _r(mesh.smooth_along(values, *_sheet(spark, sf_dir), [], 1.2, 3.2), "value")
+
+
 @query("nearest_resample", "mv", ", t AS (SELECT s_suppkey AS target, (s_suppkey * 7 % 200) / 10.0 AS x, (s_suppkey * 13 % 97) / 10.0 AS y, 0.5 AS z FROM supplier), d AS (SELECT target, vertex AS source, value, (t.x - mv.x) * (t.x - mv.x) + (t.y - mv.y) * (t.y - mv.y) + (t.z - mv.z) * (t.z - mv.z) AS d2 FROM t, mv) SELECT target, arg_min(source, (d2, source)) AS source, round(arg_min(value, (d2, source)), 6) + 0.0 AS value FROM d GROUP BY target".replace("arg_min(source, (d2, source))", "min(source) FILTER (d2 = best)").replace("arg_min(value, (d2, source))", "min_by(value, source) FILTER (d2 = best)").replace("FROM d GROUP BY target", "FROM (SELECT *, min(d2) OVER (PARTITION BY target) AS best FROM d) GROUP BY target"))
 def nearest_resample(spark, sf_dir):
     s = F.col("s_suppkey")
@@ -157,6 +178,53 @@ def largest_resample(spark, sf_dir):
     return _r(mesh.largest_resample(X.mesh_vertices(spark, sf_dir).select("vertex", "value"), _weights(spark, sf_dir), []), "value")
 
 
+#: Suppliers as a coarser sheet of 10 points a row over the sheet of parts, and two flat meshes' barycentric weights in SQL.
+SHEET = "sv AS (SELECT s_suppkey AS vertex, 1.9 * (s_suppkey % 10) + 0.3 AS x, 1.7 * (s_suppkey // 10) + 0.4 AS y, 0.0 AS z FROM supplier), st AS (SELECT vertex AS v0, vertex + 1 AS v1, vertex + 10 AS v2 FROM sv c WHERE vertex % 10 < 9 AND EXISTS (SELECT 1 FROM sv f WHERE f.vertex = c.vertex + 11) UNION ALL SELECT vertex + 1, vertex + 11, vertex + 10 FROM sv c WHERE vertex % 10 < 9 AND EXISTS (SELECT 1 FROM sv f WHERE f.vertex = c.vertex + 11))"
+
+
+def _flat_sql(name: str, targets: str, points: str, triangles: str) -> str:
+    area = lambda a, b, c: f"(({b}.x - {a}.x) * ({c}.y - {a}.y) - ({c}.x - {a}.x) * ({b}.y - {a}.y))"
+    shares = ", ".join(f"{area(*[('t' if m == n else f'p{m}') for m in range(3)])} / {area('p0', 'p1', 'p2')} AS l{n}" for n in range(3))
+    joins = " ".join(f"JOIN {points} p{n} ON p{n}.vertex = v{n}" for n in range(3))
+    hit = f"{name}_h AS (SELECT t.vertex AS target_vertex, v0, v1, v2, {shares} FROM {triangles} {joins} JOIN {targets} t ON t.x BETWEEN least(p0.x, p1.x, p2.x) - 1e-6 AND greatest(p0.x, p1.x, p2.x) + 1e-6 AND t.y BETWEEN least(p0.y, p1.y, p2.y) - 1e-6 AND greatest(p0.y, p1.y, p2.y) + 1e-6)"
+    one = f"{name}_1 AS (SELECT *, row_number() OVER (PARTITION BY target_vertex ORDER BY least(l0, l1, l2) DESC, v0, v1, v2) AS rn FROM {name}_h WHERE least(l0, l1, l2) >= -1e-9)"
+    three = " UNION ALL ".join(f"SELECT target_vertex, v{n} AS source_vertex, l{n} AS l FROM {name}_1 WHERE rn = 1 AND l{n} > 1e-9" for n in range(3))
+    return f"{hit}, {one}, {name} AS (SELECT target_vertex, source_vertex, l / sum(l) OVER (PARTITION BY target_vertex) AS weight FROM ({three}))"
+
+
+FORWARD = _flat_sql("fw", "sv", "mv", "mt")
+AREAS = "ar AS (SELECT vertex, sum(t) AS area FROM (SELECT unnest([v0, v1, v2]) AS vertex, sqrt(pow((q.y - p.y) * (r.z - p.z) - (q.z - p.z) * (r.y - p.y), 2) + pow((q.z - p.z) * (r.x - p.x) - (q.x - p.x) * (r.z - p.z), 2) + pow((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x), 2)) / 6 AS t FROM mt JOIN mv p ON p.vertex = v0 JOIN mv q ON q.vertex = v1 JOIN mv r ON r.vertex = v2) GROUP BY vertex)"
+
+
+def _coarse(spark, sf_dir):
+    s = F.col("s_suppkey")
+    points = X.table(spark, sf_dir, "supplier").select(s.alias("vertex"), (1.9 * (s % 10) + 0.3).alias("x"), (1.7 * F.floor(s / 10) + 0.4).alias("y"), F.lit(0.0).alias("z"))
+    corner = points.where("vertex % 10 < 9").select("vertex").join(points.select((F.col("vertex") - 11).alias("vertex")), "vertex")
+    a, b, c, d = (F.col("vertex") + n for n in (0, 1, 10, 11))
+    return points, corner.select(F.explode(F.array(F.struct(a.alias("v0"), b.alias("v1"), c.alias("v2")), F.struct(b.alias("v0"), d.alias("v1"), c.alias("v2")))).alias("t")).select("t.*")
+
+
+@query("barycentric_weights", "mv mt", f", {SHEET}, {FORWARD} SELECT target_vertex, source_vertex, round(weight, 6) + 0.0 AS weight FROM fw")
+def barycentric_weights(spark, sf_dir):
+    targets = _coarse(spark, sf_dir)[0].withColumnRenamed("vertex", "target")
+    return _r(weights.barycentric_weights(targets, X.mesh_vertices(spark, sf_dir), X.mesh_triangles(spark, sf_dir), flat=True), "weight")
+
+
+@query("barycentric_largest", "mv mt", f", {SHEET}, {FORWARD} SELECT target_vertex, round(value, 6) + 0.0 AS value FROM (SELECT *, row_number() OVER (PARTITION BY target_vertex ORDER BY round(weight, 9) DESC, source_vertex) AS rn FROM fw JOIN mv ON vertex = source_vertex) WHERE rn = 1")
+def barycentric_largest(spark, sf_dir):
+    """A map resampled by the largest of its barycentric weights."""
+    targets = _coarse(spark, sf_dir)[0].withColumnRenamed("vertex", "target")
+    w = weights.barycentric_weights(targets, X.mesh_vertices(spark, sf_dir), X.mesh_triangles(spark, sf_dir), flat=True)
+    return _r(mesh.largest_resample(X.mesh_vertices(spark, sf_dir).select("vertex", "value"), _r(w, "weight", places=9), []), "value")
+
+
+@query("adaptive_weights", "mv mt", f", {SHEET}, {FORWARD}, {_flat_sql('bw', 'mv', 'sv', 'st')}, {AREAS}, ways AS (SELECT w.*, weight * area AS u, count(*) OVER (PARTITION BY target_vertex, way) AS n FROM (SELECT *, 1 AS way FROM fw UNION ALL SELECT source_vertex, target_vertex, weight, 0 FROM bw) w JOIN ar ON vertex = source_vertex), pick AS (SELECT *, first_value(way) OVER (PARTITION BY target_vertex ORDER BY n DESC, way DESC) AS best FROM ways) SELECT target_vertex, source_vertex, round(u / sum(u) OVER (PARTITION BY target_vertex), 6) + 0.0 AS weight FROM pick WHERE way = best")
+def adaptive_weights(spark, sf_dir):
+    """Weights by area from the sheet of parts to the coarser one of suppliers."""
+    source = X.mesh_vertices(spark, sf_dir), X.mesh_triangles(spark, sf_dir)
+    return _r(weights.adaptive_weights(source, _coarse(spark, sf_dir), flat=True), "weight")
+
+
 @query("region_to_vertex", None, "SELECT participant_id, region, CAST(nth AS BIGINT) AS nth, round(coalesce(value, 0), 6) + 0.0 AS value FROM (SELECT s_suppkey AS participant_id, region, unnest(range(0, n)) AS nth FROM supplier, (SELECT 'r' || r_regionkey AS region, r_regionkey + 2 AS n FROM region)) g LEFT JOIN (SELECT s_suppkey AS p, 'r' || n_regionkey AS rr, s_acctbal AS value FROM supplier JOIN nation ON n_nationkey = s_nationkey) v ON v.p = participant_id AND v.rr = region")
 def region_to_vertex(spark, sf_dir):
     home = X.table(spark, sf_dir, "supplier").join(X.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("participant_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("region"), F.col("s_acctbal").alias("value"))
