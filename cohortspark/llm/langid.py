@@ -176,16 +176,36 @@ def _trainer(keys: np.ndarray, longest: int, rounds: int):
                 start, end, _row = word_spans(low, bounds)
                 if len(start):
                     first, inverse = distinct_words(low, start, end)
-                    held.append((Words(low, start[first], end[first], index, longest), np.bincount(inverse).astype(float)))
+                    held.append((Words(low, start[first], end[first], index, longest), np.bincount(inverse).astype(float), inverse, _row, end - start))
         p = np.full(len(keys), 1 / len(keys))
         for _ in range(rounds):
-            uses = sum((w.expected(p, c) for w, c in held), np.zeros(len(keys)))
+            uses = sum((w.expected(p, c) for w, c, *_ in held), np.zeros(len(keys)))
             p = (uses + 0.01) / (uses.sum() + 0.01 * len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([p.astype(np.float32).tobytes()], pa.binary())], ["lang", "p"])
+        p = p.astype(np.float32)
+        usual = _usual([(w.log_probability(p.astype(float))[inverse], row, size) for w, _, inverse, row, size in held])
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([p.tobytes()], pa.binary()), pa.array([usual], pa.list_(pa.float64()))], ["lang", "p", "usual"])
 
     return fit
 
 
+#: Texts of one language differ by at least this share of the mean, even if those learned from don't.
+LEAST_SPREAD = 0.1
+
+
+def _usual(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """What is usual in a language's own texts, from its words' log probabilities, texts and sizes: the mean log probability
+    of a byte, its variance from text to text, and the variance that a single word brings in."""
+    if not parts:
+        return np.array([0.0, 0.0, np.inf])
+    log, size = np.concatenate([x for x, _, _ in parts]), np.concatenate([n for _, _, n in parts])
+    mean = log.sum() / size.sum()
+    word = ((log - mean * size) ** 2).mean() / size.mean() ** 2
+    texts = np.concatenate([np.stack([np.bincount(row, x), np.bincount(row, n), np.bincount(row)]) for x, row, n in parts], 1)
+    texts = texts[:, texts[2] > 0]
+    between = ((texts[0] / texts[1] - mean) ** 2 - word / texts[2]).mean()
+    return np.array([mean, max((LEAST_SPREAD * mean) ** 2, between), word])
+
+
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_language: int = 800, max_bytes: int = 1 << 18, rounds: int = 3, path: str = VOCABULARY) -> bytes | None:
     """Piece probabilities of every language named in `lang`, from about docs_per_language documents of each
     (texts of up to max_bytes), chosen by a hash of the id. Languages are learned independently, one task each. None if no row has a language."""
@@ -195,11 +215,11 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     small = rows.where(F.octet_length("text") <= max_bytes)
     sample = small.join(F.broadcast(counts), "lang").where(unit(F.col("id").cast("string")) * F.col("n") < docs_per_language).select("lang", "text")
     keys, longest = vocabulary(path)
-    found = sample.groupBy("lang").applyInArrow(_trainer(keys, longest, rounds), "lang string, p binary").collect()
+    found = sample.groupBy("lang").applyInArrow(_trainer(keys, longest, rounds), "lang string, p binary, usual array<double>").collect()
     if not found:
         return None
     found.sort(key=lambda r: r["lang"])
-    return pack(keys=keys, longest=np.array(longest), p=np.stack([np.frombuffer(r["p"], np.float32) for r in found]), langs=np.array([r["lang"] for r in found]))
+    return pack(keys=keys, longest=np.array(longest), p=np.stack([np.frombuffer(r["p"], np.float32) for r in found]), langs=np.array([r["lang"] for r in found]), usual=np.array([r["usual"] for r in found]))
 
 
 def _has_letter(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -213,12 +233,14 @@ def _has_letter(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _labeller(model: bytes):
-    """A function from a text column to its languages and their scores."""
+    """A function from a text column to its languages, their scores, and how far each text lies from what is usual in its
+    language: mean log probability of a byte, in standard deviations of a text with as many words."""
     m = unpack(model)
     index, p, langs = B.Keys(m["keys"]), m["p"].astype(float), [str(x) for x in m["langs"]]
+    usual = m.get("usual", np.tile([0.0, 0.0, np.inf], (len(langs), 1)))  # a model that doesn't say what is usual finds nothing unusual
 
-    def label(column: pa.Array) -> tuple[list[str], np.ndarray]:
-        preds, scores = [], []
+    def label(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        preds, scores, apart = [], [], []
         for at, to, data, bounds in B.chunks(column, CHUNK_BYTES):
             low = B.latin_lower(data)
             total = np.zeros((len(langs), to - at))
@@ -233,7 +255,11 @@ def _labeller(model: bytes):
             letters = _has_letter(data, bounds)
             preds += [langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
             scores.append(np.where(letters, score, 0.0))
-        return preds, np.concatenate(scores) if scores else np.zeros(0)
+            mean, between, word = usual[best].T
+            words_of, bytes_of = np.maximum(1, np.bincount(row, minlength=to - at)), np.maximum(1, np.bincount(row, weights=end - start, minlength=to - at))
+            apart.append((total.max(0) / bytes_of - mean) / np.sqrt(between + word / words_of + 1e-12))
+        joined = lambda x: np.concatenate(x) if x else np.zeros(0)
+        return preds, joined(scores), joined(apart)
 
     return label
 
@@ -242,23 +268,27 @@ def _scorer(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = _labeller(model)
         for batch in batches:
-            preds, scores = label(batch.column("text"))
+            preds, scores, _ = label(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(preds, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
 
     return run
 
 
-def keep_identified(docs: DataFrame, model: bytes | None, *, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text has a language with a score of at least `least`. Without a
-    model nothing is rejected."""
+def keep_identified(docs: DataFrame, model: bytes | None, *, text: str = "text", least: float = 0.5, unusual: float = 10.0) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language: with a score of at least `least`, and not less
+    usual for a text of that language, of as many words, than `unusual` standard deviations.
+
+    So gibberish and languages that were not learned go; short texts may lie further off than long ones. Texts of
+    any length are judged as wholes; repeated rows stay or go together; null texts and texts without a letter go. Without a model
+    nothing is rejected."""
     if model is None:
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = _labeller(model)
         for batch in batches:
-            preds, scores = label(batch.column(text))
-            yield batch.filter(pa.array([p != "und" and x >= least for p, x in zip(preds, scores, strict=True)], pa.bool_()))
+            preds, scores, apart = label(batch.column(text))
+            yield batch.filter(pa.array([p != "und" and x >= least and a >= -unusual for p, x, a in zip(preds, scores, apart, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

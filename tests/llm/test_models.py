@@ -180,3 +180,21 @@ def test_mixing_hands_down_without_bias(spark):
         by[x["target"] > x["source_size"], x["size"]].append(x["copies"] - x["target"] / x["source_size"])
     assert all(abs(np.mean(x)) < 0.2 for x in by.values()), {k: np.mean(v) for k, v in by.items()}
     assert Counter(x["doc_id"] for x in out) == Counter(x[0] for x in rows)
+
+
+def test_language_stage_rejects_gibberish_and_unlearned_languages(spark):
+    from cohortspark.llm import langid
+
+    r = random.Random(8)
+    en, de = ["the", "of", "and", "thing", "other", "houses", "under", "water", "green"], ["der", "und", "haus", "wasser", "unter", "nicht", "kinder", "baum", "auch"]
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(k, say(en if k % 2 else de, r.choice([2, 5, 40, 200])), "en" if k % 2 else "de") for k in range(300)]
+    learned = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(learned)
+    odd = {
+        1000: "qzx vkj wqpf bnmk zzxq hjkl", 1001: "Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan", 1002: "Всички хора се раждат", 1003: "12 34 !!", 1004: None, 1005: "",
+        1006: "qzxv wkjq " * 3000, 1010: "the", 1011: "und der", 1012: "the water " * 3000, 1013: "The Water of the houses",
+    }
+    docs = learned.unionByName(spark.createDataFrame([(k, t, None) for k, t in odd.items()], "doc_id long, text string, lang string"))
+    kept = [x["doc_id"] for x in langid.keep_identified(docs, model).collect()]
+    assert sorted(kept) == [*range(300), 1010, 1011, 1012, 1013]
