@@ -31,8 +31,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: passages that start at more than one place are cut out of the texts. Null texts stay null, empty
     ones empty; rows that repeat a text lose what they repeat, all of it if it is long enough."""
-    cut = suffix.cut_repeats(docs.select(*COLUMNS), carry=("lang", "source", "text"))
-    text = F.when(F.col("extra.text").isNull(), F.lit(None)).otherwise(F.col("kept"))
+    cut = suffix.cut_repeats(docs.select(*COLUMNS, F.col("text").isNull().alias("no_text")), carry=("lang", "source", "no_text"))
+    text = F.when(~F.col("extra.no_text"), F.col("kept"))
     return cut.select("doc_id", text.alias("text"), F.col("extra.lang").alias("lang"), F.col("extra.source").alias("source"), F.length(text).cast("long").alias("n_chars"))
 
 
