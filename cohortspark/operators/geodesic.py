@@ -37,11 +37,11 @@ def distances(points: DataFrame, edge: DataFrame, surface: list[str], reach: flo
     kinds = dict(points.select(*surface, F.col("vertex").alias("a")).dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in surface], f"a {kinds['a']}, b {kinds['a']}, distance double"])
 
-    def grow(key: tuple, table: pa.Table) -> pa.Table:
+    def grow(table: pa.Table) -> pa.Table:
         names, place = np.unique(np.concatenate([table.column("a").to_numpy(), table.column("b").to_numpy()]), return_inverse=True)
         a, b = place[: table.num_rows], place[table.num_rows :]
         found = _within(a, b, table.column("length").to_numpy(), np.unique(a[table.column("own").to_numpy()]), len(names), reach)
-        fixed = [pa.array([k.as_py()] * len(found[0])) for k in key[: len(surface)]]
+        fixed = [table.column(c).take(pa.array(np.zeros(len(found[0]), np.int64))) for c in surface]
         return pa.table([*fixed, pa.array(names[found[0]]), pa.array(names[found[1]]), pa.array(found[2])], names=[*surface, "a", "b", "distance"])
 
     pairs = sides.select(*cube, "a", "b", "length", own.alias("own")).groupBy(*cube).applyInArrow(grow, schema)

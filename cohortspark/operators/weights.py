@@ -23,6 +23,8 @@ def _direction(flat: bool) -> list[Column]:
 
 
 def _det(a: list[Column], b: list[Column], c: list[Column]) -> Column:
+    """Determinant of three vectors, by the differences to the first: small triangles far out keep their digits."""
+    b, c = [x - y for x, y in zip(b, a, strict=True)], [x - y for x, y in zip(c, a, strict=True)]
     return a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
 
 
@@ -56,7 +58,7 @@ def barycentric_weights(targets: DataFrame, points: DataFrame, triangles: DataFr
     p = [F.col("p")[c] for c in range(3)]
     looking = looking.withColumns({f"c{c}": F.floor(p[c] / side) for c in range(axes)})
     met = looking.join(boxed, ["level", *[f"c{c}" for c in range(axes)]])
-    parts = [_det(p, u(1), u(2)) / F.col("det"), _det(u(0), p, u(2)) / F.col("det"), _det(u(0), u(1), p) / F.col("det")]
+    parts = [_det(p, u((n + 1) % 3), u((n + 2) % 3)) / F.col("det") for n in range(3)]
     met = met.withColumns({f"l{n}": x for n, x in enumerate(parts)}).withColumn("sum", F.expr("l0 + l1 + l2")).where("sum > 0")
     least = F.least("l0", "l1", "l2") / F.col("sum")
     inside = met.withColumn("least", least).where(F.col("least") >= -ON_BORDER)
