@@ -11,12 +11,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.scores import asymmetry, float_divide, no_nan, region_asymmetry
+from cohortspark.operators import gram
 
 SUBJECT = ["participant_id"]
+#: Features up to which covariances are columns of one aggregate; more are packed matrices.
+AS_COLUMNS = 8
 
 
 def zscore_model(controls: DataFrame, keys: list[str], *, min_controls: int = 2) -> DataFrame:
@@ -98,6 +102,8 @@ def wscore_model(controls: DataFrame, keys: list[str], covariates: list[str], *,
     closed form that stays in generated code; points where it is singular, and more covariates, take a pseudo-inverse of
     the moments. resid_std is the population deviation of the residuals; zero marks points that are 0 in all controls."""
     frame = complete_cases(controls, covariates).withColumns({c: F.col(c).cast("double") for c in covariates})
+    if len(covariates) > AS_COLUMNS:
+        return _wscore_packed(frame, keys, covariates, min_controls)
     moments = frame.groupBy(*keys).agg(*_moments(covariates)).where(F.col("n") >= min_controls)
     kept = [*keys, "n", "coefficients", "resid_std", "zero"]
     p = len(covariates)
@@ -124,6 +130,19 @@ def wscore_model(controls: DataFrame, keys: list[str], covariates: list[str], *,
     return regular.unionByName(general(moments.where(singular)).select(*kept))
 
 
+def _wscore_packed(frame: DataFrame, keys: list[str], covariates: list[str], min_controls: int) -> DataFrame:
+    """The model of many covariates, from one packed matrix of them and the value for each point."""
+    p = len(covariates)
+    packed = gram.moments(frame, keys, [*covariates, "value"]).where(F.col("n") >= min_controls)
+    order = {pair: k for k, pair in enumerate(zip(*np.triu_indices(p + 1), strict=True))}
+    per = lambda i, j: F.col("scatter")[order[i, j]] / F.col("n")
+    names = {"my": F.col("mean")[p], "vy": per(p, p), **{f"m{i}": F.col("mean")[i] for i in range(p)}, **{f"y{i}": per(i, p) for i in range(p)}, **{f"c{i}_{j}": per(i, j) for i in range(p) for j in range(i, p)}}
+    solved = packed.withColumn("fit", _pinv_solver(p)(F.struct("n", *[x.alias(c) for c, x in names.items()])))
+    # a point that is 0 in all controls has mean and scatter 0
+    zero = (F.col("mean")[p] == 0) & (F.col("scatter")[order[p, p]] == 0)
+    return solved.select(*keys, "n", F.col("fit.coefficients").alias("coefficients"), F.col("fit.resid_std").alias("resid_std"), zero.alias("zero"))
+
+
 def predicted(covariates: list[str]) -> Column:
     return F.col("coefficients")[0] + sum((F.col("coefficients")[i + 1] * F.col(c).cast("double") for i, c in enumerate(covariates)), F.lit(0.0))
 
@@ -152,12 +171,15 @@ def deconfound(frame: DataFrame, controls: Column, keys: list[str], covariates:
 def mahalanobis(controls: DataFrame, patients: DataFrame, keys: list[str], features: list[str], *, subject: list[str] = SUBJECT) -> DataFrame:
     """(subject, keys, distance) of wide rows with a column for each feature: sqrt(d' pinv(S) d), S with n - 1.
 
-    All F (F + 1) / 2 covariances are one aggregate. Two features have a closed form where S is regular; the rest takes a
-    pseudo-inverse of each point's matrix."""
+    Controls with a null feature are left out. Up to AS_COLUMNS features the F (F + 1) / 2 covariances are columns of one
+    aggregate, more are a packed matrix. Two features have a closed form where S is regular; the rest takes a pseudo-inverse of
+    each point's matrix."""
     f = len(features)
     if f < 2:
         raise ValueError("at least two features")
-    model = controls.groupBy(*keys).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.covar_samp(features[i], features[j]).alias(f"s{i}_{j}") for i in range(f) for j in range(i, f)])
+    if f > AS_COLUMNS:
+        return _mahalanobis_packed(controls, patients, keys, features, subject)
+    model = controls.dropna(subset=features).groupBy(*keys).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.covar_samp(features[i], features[j]).alias(f"s{i}_{j}") for i in range(f) for j in range(i, f)])
     joined = patients.join(model, keys)
 
     def solve(rows: pd.DataFrame) -> pd.Series:
@@ -166,16 +188,7 @@ def mahalanobis(controls: DataFrame, patients: DataFrame, keys: list[str], featu
         for i in range(f):
             for j in range(i, f):
                 s[:, i, j] = s[:, j, i] = rows[f"s{i}_{j}"].to_numpy(float)
-        sd = np.sqrt(np.einsum("nii->ni", s))
-        unit = np.where((sd > 0) & np.isfinite(sd), sd, 1.0)  # scaled where the matrix is regular, so units don't cost digits
-        corr = s / (unit[:, :, None] * unit[:, None, :])
-        regular = np.isfinite(corr).all((1, 2))
-        regular[regular] = np.linalg.cond(corr[regular]) < 1e8
-        square = np.empty(len(rows))
-        z = d / unit
-        square[regular] = (z[regular] * np.linalg.solve(corr[regular], z[regular][:, :, None])[:, :, 0]).sum(1)
-        square[~regular] = np.einsum("ni,nij,nj->n", d[~regular], np.linalg.pinv(s[~regular], hermitian=True), d[~regular])
-        return pd.Series(np.sqrt(np.maximum(0, square)))
+        return pd.Series(_distances(d, s))
 
     with_d = joined.withColumns({f"d{i}": F.col(c) - F.col(f"m{i}") for i, c in enumerate(features)})
     general = lambda rows: rows.select(*subject, *keys, F.pandas_udf(solve, "double")(F.struct(*[F.col(f"d{i}") for i in range(f)], *[F.col(f"s{i}_{j}") for i in range(f) for j in range(i, f)])).alias("distance"))
@@ -187,6 +200,41 @@ def mahalanobis(controls: DataFrame, patients: DataFrame, keys: list[str], featu
     return with_d.where(regular).select(*subject, *keys, closed.alias("distance")).unionByName(general(with_d.where(~regular)))
 
 
+def _distances(d: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """sqrt(d' pinv(s) d) for rows of differences and of matrices; regular matrices are scaled, so units don't cost digits."""
+    sd = np.sqrt(np.einsum("nii->ni", s))
+    unit = np.where((sd > 0) & np.isfinite(sd), sd, 1.0)
+    corr = s / (unit[:, :, None] * unit[:, None, :])
+    regular = np.isfinite(corr).all((1, 2))
+    regular[regular] = np.linalg.cond(corr[regular]) < 1e8
+    square = np.empty(len(d))
+    z = d / unit
+    square[regular] = (z[regular] * np.linalg.solve(corr[regular], z[regular][:, :, None])[:, :, 0]).sum(1)
+    square[~regular] = np.einsum("ni,nij,nj->n", d[~regular], np.linalg.pinv(s[~regular], hermitian=True), d[~regular])
+    return np.sqrt(np.maximum(0, square))
+
+
+def _mahalanobis_packed(controls: DataFrame, patients: DataFrame, keys: list[str], features: list[str], subject: list[str]) -> DataFrame:
+    """Many features: a point's matrix meets the point's patients once, in a cogroup, instead of being joined to each."""
+    f = len(features)
+    model = gram.moments(controls, keys, features)
+    wide = patients.select(*subject, *keys, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(features)])
+    kinds = ", ".join(f"`{k}` {wide.schema[k].dataType.simpleString()}" for k in [*subject, *keys])
+
+    def run(here: pa.Table, there: pa.Table) -> pa.Table:
+        if not there.num_rows or there.column("n")[0].as_py() < 2:
+            here = here.slice(0, 0)
+        x = np.stack([here.column(f"_{i}").to_numpy() for i in range(f)], 1).astype(float)
+        distance = np.zeros(0)
+        if len(x):
+            s = gram.unpacked(np.array(there.column("scatter")[0].as_py())[None], f) / (there.column("n")[0].as_py() - 1)
+            d = x - np.array(there.column("mean")[0].as_py())
+            distance = np.concatenate([_distances(rows, np.broadcast_to(s, (len(rows), f, f))) for rows in np.array_split(d, 1 + len(d) // 256)])
+        return pa.table([*[here.column(c) for c in [*subject, *keys]], pa.array(distance)], names=[*subject, *keys, "distance"])
+
+    return wide.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(run, f"{kinds}, distance double")
+
+
 def in_every_feature(frame: DataFrame, features: list[str], *, feature: str = "feature", subject: list[str] = SUBJECT) -> DataFrame:
     """Rows of subjects that have all the features: distances need every one of them."""
     wanted = frame.where(F.col(feature).isin(features))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark import fixtures as X
 from cohortspark.functions.scores import attenuate, rounded
-from cohortspark.operators import grid, mesh, normative, series
+from cohortspark.operators import gram, grid, mesh, normative, series
 from cohortspark.plans import scoring
 from cohortspark.sources import maps
 
@@ -250,6 +250,16 @@ def region_scores_wide(spark, sf_dir):
     return maps.region_wide(zscore_region(spark, sf_dir).withColumnRenamed("score", "value"), ["participant_id"], SIDES)
 
 
+@query("feature_covariance", "e", ", w AS (SELECT participant_id, cohort, (CASE WHEN hemi = 'L' THEN 0 ELSE 32 END) + vertex AS f, value FROM e) SELECT a.cohort, CAST(a.f AS BIGINT) AS i, CAST(b.f AS BIGINT) AS j, count(*) AS n, round(covar_samp(a.value, b.value), 6) + 0.0 AS covariance FROM w a JOIN w b ON a.participant_id = b.participant_id AND a.f <= b.f GROUP BY ALL")
+def feature_covariance(spark, sf_dir):
+    """All covariances of 64 features by cohort, from packed matrices."""
+    wide = X.table(spark, sf_dir, "embeddings").select(F.when(F.col("label") < 5, "control").otherwise("patient").alias("cohort"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    m = gram.moments(wide, ["cohort"], [f"f{i}" for i in range(64)])
+    places = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j")) for i in range(64) for j in range(i, 64)])
+    long = m.select("cohort", "n", F.explode(F.arrays_zip(places.alias("at"), F.col("scatter").alias("s"))).alias("x"))
+    return long.select("cohort", "x.at.i", "x.at.j", "n", rounded(F.col("x.s") / (F.col("n") - 1)).alias("covariance"))
+
+
 @query("ts_rmssd", "ts", ", d AS (SELECT series_id, value - lag(value) OVER (PARTITION BY series_id ORDER BY t) AS d FROM ts) SELECT series_id, round(CASE WHEN count(*) > 1 THEN sqrt(sum(d * d)) / (count(*) - 1) ELSE 'NaN'::DOUBLE END, 6) + 0.0 AS rmssd FROM d GROUP BY series_id")
 def ts_rmssd(spark, sf_dir):
     return _out(series.rmssd(X.series(spark, sf_dir), ["series_id"]), "rmssd")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.functions.scores import asymmetry, attenuate, float_divide, region_asymmetry
-from cohortspark.operators import normative, series
+from cohortspark.operators import gram, normative, series
 from cohortspark.plans import scoring
 from cohortspark.streaming import scores as streaming
 
@@ -165,3 +165,45 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     stream = spark.readStream.schema(patients.schema).parquet(str(tmp_path / "in"))
     streaming.write_stream(streaming.score_stream(stream, model, ["vertex"]), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert grid(spark.read.parquet(str(tmp_path / "out"))) == grid(normative.zscore(controls, patients, ["vertex"]))
+
+
+def test_many_features_as_packed_matrices(spark):
+    r = np.random.default_rng(11)
+    f, points, people = 60, 3, 150
+    y = r.normal(size=(points, people, f)) @ r.normal(size=(f, f)) * np.geomspace(1, 1e4, f) + 50
+    y[2, :, 5] = y[2, :, 4]  # singular
+    names = [f"f{k}" for k in range(f)]
+    rows = [(i, v, *map(float, y[v, i])) for v in range(points) for i in range(people)] + [(900, 0, *[None] * f), (901, 7, *[1.0] * f)]
+    frame = spark.createDataFrame(rows, ["participant_id", "vertex", *names]).repartition(3)
+    controls, patients = frame.where("participant_id < 120 or participant_id >= 900"), frame.where("participant_id >= 120 and participant_id < 900")
+    out = normative.mahalanobis(controls, patients, ["vertex"], names)
+    got = {(x["participant_id"], x["vertex"]): x["distance"] for x in out.collect()}
+    assert len(got) == points * 30
+    for v in range(points):
+        c, d = y[v, :120], y[v, 120:] - y[v, :120].mean(0)
+        s = np.cov(c.T)
+        want = np.sqrt(np.einsum("ni,ij,nj->n", d, np.linalg.pinv(s, hermitian=True) if v == 2 else np.linalg.inv(s), d))
+        assert np.allclose([got[120 + i, v] for i in range(30)], want, rtol=1e-5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "covar" not in plan and plan.count("FlatMapGroupsInArrow") == 1 and plan.count("FlatMapCoGroupsInArrow") == 1
+    # the moments by themselves, from parts of one row and of many
+    for parts in (1, 40):
+        m = {x["vertex"]: x for x in gram.moments(frame.where("participant_id < 900").repartition(parts), ["vertex"], names[:4]).collect()}
+        for v in range(points):
+            assert m[v]["n"] == people and np.allclose(m[v]["mean"], y[v, :, :4].mean(0))
+            assert np.allclose(gram.unpacked(np.array(m[v]["scatter"])[None], 4)[0], np.cov(y[v, :, :4].T) * (people - 1))
+
+
+def test_wscore_of_many_covariates(spark):
+    r = np.random.default_rng(12)
+    p, people = 10, 60
+    x = r.normal(size=(people, p)) * np.geomspace(1, 1e3, p) + 10
+    value = x @ r.normal(size=p) + r.normal(size=people)
+    names = [f"c{k}" for k in range(p)]
+    rows = [(i, v, float(value[i]) if v else 0.0, *map(float, x[i])) for v in (0, 1) for i in range(people)]
+    frame = spark.createDataFrame(rows, ["participant_id", "vertex", "value", *names])
+    model = {m["vertex"]: m for m in normative.wscore_model(frame.where("participant_id < 50"), ["vertex"], names).collect()}
+    a = np.column_stack([np.ones(50), x[:50]])
+    beta = np.linalg.lstsq(a, value[:50], rcond=None)[0]
+    assert np.allclose(model[1]["coefficients"], beta, rtol=1e-6) and math.isclose(model[1]["resid_std"], np.std(value[:50] - a @ beta), rel_tol=1e-8)
+    assert model[0]["zero"] and not model[1]["zero"] and model[1]["n"] == 50
