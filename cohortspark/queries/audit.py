@@ -72,6 +72,14 @@ def demo_int_check(spark, sf_dir):
     return D.not_integers(X.demographics(spark, sf_dir), "BALANCE").select(rounded(F.col("value")).alias("value"))
 
 
+@query("demo_validated", "dm", ", first AS (SELECT lower(SEX) AS v FROM dm ORDER BY row_ordinal LIMIT 1) SELECT participant_id, AGE, round(BALANCE, 6) + 0.0 AS BALANCE, CASE WHEN lower(SEX) = (SELECT v FROM first) THEN 1 ELSE 0 END AS SEX FROM dm")
+def demo_validated(spark, sf_dir):
+    """Text columns checked and converted in one pass, as they come from a CSV file."""
+    text = X.demographics(spark, sf_dir).select("participant_id", "row_ordinal", *[F.col(c).cast("string").alias(c) for c in ("AGE", "BALANCE", "SEX")])
+    out, _ = D.validated(text, {"AGE": "int", "BALANCE": "float", "SEX": "binary"}, "row_ordinal")
+    return out.select("participant_id", "AGE", rounded(F.col("BALANCE")).alias("BALANCE"), "SEX")
+
+
 CODES = ", f AS (SELECT lower(SEX) AS value, min(row_ordinal) AS seen FROM dm GROUP BY ALL), codes AS (SELECT value, CASE WHEN seen = (SELECT min(seen) FROM f) THEN 1 ELSE 0 END AS code FROM f)"
 
 

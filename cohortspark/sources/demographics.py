@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_NAMES = {"ID": "participant_id", "SES": "session_id"}
@@ -79,38 +79,67 @@ def decode(frame: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     return frame.join(known, F.col(column) == F.col("_c"), "left").withColumn(column, F.col("_v")).drop("_v", "_c")
 
 
-def validated(frame: DataFrame, columns: dict[str, str], order: str, reference: dict[str, DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+def _metrics(columns: dict[str, str], order: str) -> list[Column]:
+    """What the checks of all columns need to know, as aggregates of one row. Odd values are counted, with the least and the
+    greatest as examples. For two-valued columns the values are numbered by a hash h: if all of them are the least or the
+    greatest, the sum of (h - least) (h - greatest) is 0, and below 0 as soon as there is a third."""
+    out = [F.count(F.lit(1)).alias("rows")]
+    for i, (c, kind) in enumerate(columns.items()):
+        out.append(F.count_if(F.col(c).isNull()).alias(f"null{i}"))
+        text = F.col(c).cast("string")
+        if kind == "binary":
+            low = F.lower(text)
+            h = F.when(low.isNotNull(), F.shiftrightunsigned(F.xxhash64(low), 24)).cast("decimal(38,0)")
+            out += [F.min(h).alias(f"least{i}"), F.max(h).alias(f"greatest{i}"), F.sum(h).alias(f"sum{i}"), F.sum((h * h).cast("decimal(38,0)")).alias(f"squares{i}"), F.count(h).alias(f"values{i}")]
+            out += [F.min_by(low, h).alias(f"low{i}"), F.max_by(low, h).alias(f"high{i}"), F.min_by(low, F.when(low.isNotNull(), F.col(order))).alias(f"first{i}")]
+        else:
+            number = F.col(c).try_cast("double")
+            odd = number.isNull()
+            if kind == "int":
+                whole = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
+                odd = odd | ~(F.abs(number - whole) <= 1e-8 + 1e-5 * F.abs(whole))
+            odd = F.when(F.col(c).isNotNull() & odd, text)
+            out += [F.count(odd).alias(f"odd{i}"), F.min(odd).alias(f"from{i}"), F.max(odd).alias(f"to{i}")]
+    return out
+
+
+def validated(frame: DataFrame, columns: dict[str, str], order: str, reference: dict[str, DataFrame] | None = None, to: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Check and convert normative columns of declared type int, float or binary; returns the encodings used.
 
-    A reference's encoding is used wherever there is one, so patients are coded as the controls were."""
+    All checks are observed during one pass over the table, which writes it to `to` if that is given (the result then reads it from
+    there, as Parquet): one job for any number of columns. Nulls, values that are no numbers or not whole, and binary columns
+    without exactly two values (case apart) are errors. Of two values the one seen first, by the order column, is 1. A
+    reference's encoding is used wherever there is one, so patients are coded as the controls were."""
     for c, kind in columns.items():
         if c not in frame.columns:
             raise ValueError(f"column {c} not found")
         if kind not in ("int", "float", "binary"):
             raise ValueError(f"type {kind} of {c} is not int, float or binary")
-    bad = null_counts(frame, list(columns)).where("nulls > 0").collect()  # a row for each normative column
-    if bad:
-        raise ValueError("null values in " + ", ".join(f"{r['column']} ({r['nulls']})" for r in bad))
+    spark, seen = frame.sparkSession, Observation()
+    watched = frame.observe(seen, *_metrics(columns, order)).write.mode("overwrite")
+    watched.parquet(to) if to else watched.format("noop").save()
+    m = seen.get
+    if to:
+        frame = spark.read.schema(frame.schema).parquet(to)
+    nulls = [f"{c} ({m[f'null{i}']})" for i, c in enumerate(columns) if m[f"null{i}"]]
+    if nulls:
+        raise ValueError("null values in " + ", ".join(nulls))
     used = {}
-    for c, kind in columns.items():
-        if kind == "int":
-            odd = not_integers(frame, c).limit(5).collect()
-            if odd:
-                raise ValueError(f"{c} has values that are not integers: {[r['value'] for r in odd]}")
-            frame = frame.withColumn(c, F.col(c).cast("int"))
-        elif kind == "float":
-            odd = not_floats(frame, c).limit(5).collect()
-            if odd:
-                raise ValueError(f"{c} has values that are not numbers: {[r['value'] for r in odd]}")
-            frame = frame.withColumn(c, F.col(c).cast("double"))
-        else:
+    for i, (c, kind) in enumerate(columns.items()):
+        if kind == "binary":
             codes = (reference or {}).get(c)
             if codes is None:
-                codes = encoding(frame, c, order)
-                if codes.count() != 2:
+                least, greatest, total, squares = (int(m[f"{x}{i}"] or 0) for x in ("least", "greatest", "sum", "squares"))
+                if least == greatest or squares - (least + greatest) * total + m[f"values{i}"] * least * greatest != 0:
                     raise ValueError(f"{c} does not have two values")
+                codes = spark.createDataFrame([(v, int(v == m[f"first{i}"])) for v in (m[f"low{i}"], m[f"high{i}"])], "value string, code int")
             used[c] = codes
             frame = encode(frame, c, codes)
+            continue
+        if m[f"odd{i}"]:
+            raise ValueError(f"{c} has {m[f'odd{i}']} values that are not {'integers' if kind == 'int' else 'numbers'}: {m[f'from{i}']} to {m[f'to{i}']}")
+        number = F.col(c).cast("double")
+        frame = frame.withColumn(c, number.cast("int") if kind == "int" else number)
     return frame, used
 
 

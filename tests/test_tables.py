@@ -48,6 +48,23 @@ def test_normative_columns(spark):
         D.validated(frame.withColumn("age", F.when(F.col("row") > 1, F.col("age"))), {"age": "int"}, "row")
 
 
+def test_columns_are_checked_in_one_job(spark, tmp_path):
+    rows = [(i, str(20 + i % 50), str(i / 3), "aB"[i % 2], "Yes" if i % 3 else "no", float(i)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "row int, age string, w string, a string, b string, c double").repartition(3)
+    kinds = {"age": "int", "w": "float", "a": "binary", "b": "binary", "c": "int"}
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    for k, (columns, to) in enumerate([({"age": "int"}, None), (kinds, None), (kinds, str(tmp_path / "kept"))]):
+        spark.sparkContext.setJobGroup(f"check{k}", "")
+        out, codes = D.validated(frame, columns, "row", to=to)
+        assert jobs(f"check{k}") == (2 if to else jobs("check0"))  # a written table has a shuffle's job more under adaptive execution
+    spark.sparkContext.setJobGroup("after", "")
+    assert sorted((r["value"], r["code"]) for r in codes["a"].collect()) == [("a", 1), ("b", 0)] and sorted((r["value"], r["code"]) for r in codes["b"].collect()) == [("no", 1), ("yes", 0)]
+    assert one(out.where("row in (0, 4)").select("row", "age", "w", "a", "b", "c").orderBy("row")) == [(0, 20, 0.0, 1, 1, 0), (4, 24, 4 / 3, 1, 0, 4)]
+    for bad, kind, problem in ((F.when(F.col("row") == 7, "third").otherwise(F.col("a")), "binary", "two values"), (F.lit("x"), "binary", "two values"), (F.when(F.col("row") == 7, "1.2").otherwise("5"), "int", "1 values that are not integers: 1.2"), (F.lit("nan"), "int", "200 values"), (F.when(F.col("row") > 7, "1"), "int", r"null values in bad \(8\)"), (F.lit("1,5"), "float", "not numbers: 1,5")):
+        with pytest.raises(ValueError, match=problem):
+            D.validated(frame.withColumn("bad", bad), {"age": "int", "bad": kind}, "row")
+
+
 def test_age_bins_are_right_closed(spark):
     frame = spark.createDataFrame([(20, "F"), (25, "M"), (26, "F"), (40, "F")], "age int, sex string")
     assert one(D.age_histogram(frame, "age", "sex").orderBy("bin")) == [(20, "20-24", 1, 1), (25, "25-29", 1, 0), (30, "30-34", 0, 0), (35, "35-39", 1, 0)]
