@@ -52,6 +52,16 @@ def decode_surface_file(content: bytes) -> list[tuple[str, np.ndarray]]:
     return out
 
 
+def encode_surface_file(arrays: list[np.ndarray]) -> bytes:
+    """A surface file of scalar maps, one array for each depth, as compressed doubles."""
+    data = "".join(
+        f'<DataArray Intent="NIFTI_INTENT_NONE" DataType="NIFTI_TYPE_FLOAT64" ArrayIndexingOrder="RowMajorOrder" Dimensionality="1" Dim0="{len(a)}" Encoding="GZipBase64Binary" Endian="LittleEndian">'
+        f"<Data>{base64.b64encode(zlib.compress(np.asarray(a, '<f8').tobytes())).decode()}</Data></DataArray>"
+        for a in arrays
+    )
+    return f'<?xml version="1.0" encoding="UTF-8"?><GIFTI Version="1.0" NumberOfDataArrays="{len(arrays)}">{data}</GIFTI>'.encode()
+
+
 def read_surface_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(maps, errors): scalar maps of surface files, one array for each depth, and the files that could not be read.
 
