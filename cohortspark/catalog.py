@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.queries import audit, plans, scores, space
+from cohortspark.queries import audit, files, plans, scores, space
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scores.QUERIES | audit.QUERIES | space.QUERIES | plans.QUERIES
-ORACLES: dict[str, str] = scores.ORACLES | audit.ORACLES | space.ORACLES | plans.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scores.QUERIES | audit.QUERIES | space.QUERIES | plans.QUERIES | files.QUERIES
+ORACLES: dict[str, str] = scores.ORACLES | audit.ORACLES | space.ORACLES | plans.ORACLES | files.ORACLES

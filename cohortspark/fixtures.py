@@ -82,8 +82,8 @@ def mesh_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(subject_id, vertex, layer, x, y, z, value): four layers of each order line's part, by line number."""
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")  # noqa: E741
+    """(subject_id, vertex, layer, x, y, z, value): seven layers of each order line's part, by line number."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     return l.groupBy(F.col("l_suppkey").alias("subject_id"), (F.col("l_partkey") % 8).alias("vertex"), (F.col("l_linenumber") - 1).cast("int").alias("layer")).agg(F.avg("l_quantity").alias("x"), F.avg("l_discount").alias("y"), F.avg("l_tax").alias("z"), F.avg("l_extendedprice").alias("value"))
 
 
@@ -101,7 +101,7 @@ SQL = {
     "mv": "mv AS (SELECT p_partkey AS vertex, CAST(p_partkey % 20 AS DOUBLE) AS x, CAST(p_partkey // 20 AS DOUBLE) AS y, p_size / 50.0 AS z, CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE p_retailprice END AS value FROM part)",
     "mt": "mt AS (SELECT vertex AS v0, vertex + 1 AS v1, vertex + 20 AS v2 FROM mv c WHERE vertex % 20 < 19 AND EXISTS (SELECT 1 FROM mv f WHERE f.vertex = c.vertex + 21) UNION ALL SELECT vertex + 1, vertex + 21, vertex + 20 FROM mv c WHERE vertex % 20 < 19 AND EXISTS (SELECT 1 FROM mv f WHERE f.vertex = c.vertex + 21))",
     "me": "me AS (SELECT DISTINCT a, b FROM (SELECT v0 AS a, v1 AS b FROM mt UNION ALL SELECT v1, v0 FROM mt UNION ALL SELECT v0, v2 FROM mt UNION ALL SELECT v2, v0 FROM mt UNION ALL SELECT v1, v2 FROM mt UNION ALL SELECT v2, v1 FROM mt))",
-    "ly": "ly AS (SELECT l_suppkey AS subject_id, l_partkey % 8 AS vertex, CAST(l_linenumber - 1 AS INTEGER) AS layer, avg(l_quantity) AS x, avg(l_discount) AS y, avg(l_tax) AS z, avg(l_extendedprice) AS value FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL)",
+    "ly": "ly AS (SELECT l_suppkey AS subject_id, l_partkey % 8 AS vertex, CAST(l_linenumber - 1 AS INTEGER) AS layer, avg(l_quantity) AS x, avg(l_discount) AS y, avg(l_tax) AS z, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL)",
 }
 
 

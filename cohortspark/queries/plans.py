@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from cohortspark import fixtures as X
 from cohortspark.functions.scores import rounded
 from cohortspark.operators import inventory, mesh, normative
-from cohortspark.plans import deriving, report
-from cohortspark.queries.scores import M4, S
+from cohortspark.plans import deriving, legacy, report, scoring
+from cohortspark.queries.scores import AL, M4, RM, TS, S, Z
 from cohortspark.queries.space import DEPTH, STEP
 
 QUERIES, ORACLES = {}, {}
@@ -42,14 +42,14 @@ def mahalanobis_maps(spark, sf_dir):
 V = ", v AS (SELECT DISTINCT vertex FROM e), t AS (SELECT vertex AS v0, vertex + 1 AS v1, vertex + 8 AS v2 FROM v WHERE vertex % 8 < 7 AND vertex < 24), h AS (SELECT vertex AS a, vertex AS b FROM v UNION SELECT v0, v1 FROM t UNION SELECT v1, v0 FROM t UNION SELECT v0, v2 FROM t UNION SELECT v2, v0 FROM t UNION SELECT v1, v2 FROM t UNION SELECT v2, v1 FROM t), w AS (SELECT a, b, exp(-(pow(a % 8 - b % 8, 2) + pow(a // 8 - b // 8, 2)) / 2.0) AS w FROM h), sm AS (SELECT participant_id, hemi, a AS vertex, sum(w * value) / sum(w) AS value FROM e JOIN w ON vertex = b GROUP BY ALL), cx AS (SELECT participant_id, 'thickness' AS feature, hemi, CAST(vertex // 2 AS BIGINT) AS vertex, sum(0.5 * value) AS value FROM sm GROUP BY ALL)"
 
 
-def _cortex(spark, sf_dir):
+def _cortex(spark, sf_dir, signals=None):
     maps = X.surface_maps(spark, sf_dir).select("participant_id", F.lit("thickness").alias("feature"), "hemi", "vertex", "value")
     v = maps.select("vertex").distinct()
     c = F.col("vertex")
     points = v.select("vertex", (c % 8).cast("double").alias("x"), F.floor(c / 8).cast("double").alias("y"), F.lit(0.0).alias("z"))
     triangles = v.where("vertex % 8 < 7 and vertex < 24").select(c.alias("v0"), (c + 1).alias("v1"), (c + 8).alias("v2"))
     weights = v.select(c.alias("source_vertex"), F.floor(c / 2).alias("target_vertex"), F.lit(0.5).alias("weight"))
-    return deriving.cortical(maps, points, mesh.edges(triangles, []), weights, sigma=1.0, hops=1)
+    return deriving.cortical(maps, points, mesh.edges(triangles, []), weights, sigma=1.0, hops=1, signals=signals)
 
 
 @query("process_cortex", "e", V + " SELECT participant_id, feature, hemi, vertex, round(value, 6) + 0.0 AS value FROM cx")
@@ -57,6 +57,48 @@ def process_cortex(spark, sf_dir):
     return _out(_cortex(spark, sf_dir), "value")
 
 
+# Every user's events are the signal of a point: 32 points a side, 64 a subject.
+SIGNALS = ", ft AS (SELECT series_id // 64 AS participant_id, CASE WHEN (series_id // 32) % 2 = 0 THEN 'L' ELSE 'R' END AS hemi, CAST(series_id % 32 AS INTEGER) AS vertex, rmssd, timescale AS timescales, alff, alff / total AS falff FROM al JOIN tsc USING (series_id) JOIN rm USING (series_id)), am AS (SELECT participant_id, hemi, vertex, 'thickness' AS feature, value FROM e UNION ALL UNPIVOT ft ON rmssd, timescales, alff, falff INTO NAME feature VALUE value), sg AS (SELECT participant_id, feature, hemi, a AS vertex, sum(w * value) / sum(w) AS value FROM am JOIN w ON vertex = b GROUP BY ALL) SELECT participant_id, feature, hemi, CAST(vertex // 2 AS BIGINT) AS vertex, round(sum(0.5 * value), 5) + 0.0 AS value FROM sg GROUP BY participant_id, feature, hemi, vertex // 2"
+
+
+@query("process_signals", "e ts", V.replace(", cx AS", ", unused AS") + AL + TS + RM + SIGNALS)
+def process_signals(spark, sf_dir):
+    """The cortical branch with its time series: four features of every signal, smoothed and resampled like the maps."""
+    user = F.col("series_id")
+    places = [F.floor(user / 64).cast("bigint").alias("participant_id"), F.when(F.floor(user / 32) % 2 == 0, "L").otherwise("R").alias("hemi"), (user % 32).cast("int").alias("vertex")]
+    signals = X.series(spark, sf_dir).groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("values")).select(*places, "values")
+    return _out(_cortex(spark, sf_dir, signals), "value", places=5)
+
+
+LEGACY = M4.replace("hemi, vertex", "analysis, hemi, vertex").replace("FROM ed", "FROM src").replace("m AS (", "mm AS (").replace("JOIN m USING", "JOIN mm USING")
+
+
+@query("legacy_run", "e ed", STACK.replace(" WHERE participant_id % 9 <> 0)", ")") + ", all9 AS (SELECT * FROM src WHERE participant_id % 9 <> 0 OR depth < 2), lm AS (SELECT analysis, hemi, vertex, depth, avg(value) AS mu, stddev_pop(value) AS sd FROM all9 WHERE cohort = 'control' GROUP BY ALL), lz AS (SELECT participant_id, hemi, vertex, CASE WHEN depth < 2 THEN 'FA' ELSE 'ADC' END AS feature, analysis, avg((value - mu) / sd) AS score FROM all9 JOIN lm USING (analysis, hemi, vertex, depth) WHERE cohort = 'patient' GROUP BY ALL)" + LEGACY.replace("FROM src", "FROM (SELECT * FROM src WHERE participant_id % 9 <> 0)") + " SELECT participant_id, hemi, CAST(vertex AS BIGINT) AS vertex, feature, analysis, 'zscore' AS method, round(score, 4) + 0.0 AS score FROM lz UNION ALL SELECT participant_id, hemi, CAST(vertex AS BIGINT), 'FA-ADC', analysis, 'mahalanobis', round(sqrt(q + d3 * d3 / s33), 4) + 0.0 FROM p3")
+def legacy_run(spark, sf_dir):
+    """Two control datasets and the patients, two features at two depths, sides and asymmetry, scores and distances in one table. Every
+    ninth subject lacks the second feature."""
+    e = X.layered_maps(spark, sf_dir).withColumn("feature", F.when(F.col("depth") < 2, "FA").otherwise("ADC")).withColumn("depth", F.col("depth") % 2)
+    some = e.where("participant_id % 9 <> 0 or feature = 'FA'")
+    controls = some.where("cohort = 'control'")
+    datasets = [controls.where("participant_id % 2 = 0"), controls.where("participant_id % 2 = 1")]
+    out = legacy.run_analysis(datasets, some.where("cohort = 'patient'"), features=["FA", "ADC"], depths=[0, 1])
+    return _out(out, "score", places=4)
+
+
+@query("run_cohort", "e", ", ok AS (SELECT * FROM e WHERE participant_id % 5 <> 0 UNION ALL SELECT participant_id, cohort, hemi, vertex, value / 2 FROM e WHERE participant_id % 5 = 0), " + Z.format(k="hemi, vertex", t="ok") + ", s AS (SELECT participant_id, hemi, vertex, (value - mu) / sd AS score FROM ok JOIN m USING (hemi, vertex) WHERE cohort = 'patient' AND n >= 2) SELECT participant_id, hemi, count(*) AS n, round(avg(score), 5) + 0.0 AS mean_score, round(stddev_pop(score), 5) + 0.0 AS std_score FROM s GROUP BY ALL")
+def run_cohort(spark, sf_dir):
+    """A whole run: every fifth subject has no maps, too few are complete, what is missing is derived, and all are scored."""
+    e = X.surface_maps(spark, sf_dir)
+    expected = e.select("participant_id", "hemi").distinct()
+
+    def derive(missing):
+        return e.join(missing.select("participant_id", "hemi"), ["participant_id", "hemi"]).withColumn("value", F.col("value") / 2)
+
+    run = scoring.run_pipeline(e.where("participant_id % 5 <> 0"), None, expected, covariates=[], method="zscore", keys=["hemi"], error_below=95.0, derive=derive)
+    summary = run["summary"].where("analysis = 'regional'")
+    return summary.select("participant_id", "hemi", "n", rounded(F.col("mean_score"), 5).alias("mean_score"), rounded(F.col("std_score"), 5).alias("std_score"))
+
+
 # Each slice of the grid is a subject, its parts the points.
 HIP = ", c AS (SELECT k, i + 10 * j AS vertex, i + a AS i, j + b AS j, CASE WHEN a = 1 THEN 0.25 ELSE 0.75 END * CASE WHEN b = 1 THEN 0.5 ELSE 0.5 END AS w FROM vox, (VALUES (0), (1)) aa(a), (VALUES (0), (1)) bb(b)), s AS (SELECT c.k, vertex, sum(w * coalesce(value, 0)) AS value FROM c LEFT JOIN vox ON vox.k = c.k AND vox.i = c.i AND vox.j = c.j GROUP BY ALL), hp AS (SELECT CAST(x.k AS BIGINT) AS participant_id, 'T1map' AS feature, 'L' AS hemi, CAST(x.vertex AS BIGINT) AS vertex, sum(exp(-pow(x.vertex - y.vertex, 2) / 2.0) * y.value) / sum(exp(-pow(x.vertex - y.vertex, 2) / 2.0)) AS value FROM s x JOIN s y ON x.k = y.k AND x.vertex // 10 = y.vertex // 10 AND abs(x.vertex - y.vertex) <= 1 GROUP BY ALL)"
 

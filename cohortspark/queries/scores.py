@@ -304,7 +304,8 @@ def ts_spectrum(spark, sf_dir):
     return series.fourier(flat, ["series_id"], whole=8).select("series_id", "k", rounded(F.col("re"), 4).alias("re"), rounded(F.col("im"), 4).alias("im"))
 
 
-FEATURES = AL + TS + ", rm AS (SELECT series_id, sqrt(sum(d * d)) / (count(*) - 1) AS rmssd FROM (SELECT series_id, value - lag(value) OVER (PARTITION BY series_id ORDER BY t) AS d FROM ts) GROUP BY series_id) SELECT series_id, round(rmssd, 6) + 0.0 AS rmssd, round(timescale, 6) + 0.0 AS timescale, round(alff, 5) + 0.0 AS alff, round(alff / total, 6) + 0.0 AS falff FROM al JOIN tsc USING (series_id) JOIN rm USING (series_id)"
+RM = ", rm AS (SELECT series_id, sqrt(sum(d * d)) / (count(*) - 1) AS rmssd FROM (SELECT series_id, value - lag(value) OVER (PARTITION BY series_id ORDER BY t) AS d FROM ts) GROUP BY series_id)"
+FEATURES = AL + TS + RM + " SELECT series_id, round(rmssd, 6) + 0.0 AS rmssd, round(timescale, 6) + 0.0 AS timescale, round(alff, 5) + 0.0 AS alff, round(alff / total, 6) + 0.0 AS falff FROM al JOIN tsc USING (series_id) JOIN rm USING (series_id)"
 
 
 @query("ts_features", "ts", FEATURES)

@@ -242,7 +242,7 @@ def layer_gradient(spark, sf_dir):
     return out.select(*LAYER_KEYS, F.col("layer").cast("bigint").alias("layer"), rounded(F.col("distance")).alias("distance"), rounded(F.col("gradient"), 4).alias("gradient"))
 
 
-DEPTH = ", sp AS (SELECT subject_id, vertex, unnest(range(0, 12)) AS slot FROM (SELECT DISTINCT subject_id, vertex FROM g)), dp AS (SELECT subject_id, vertex, slot, -coalesce((SELECT sum(distance) FROM g WHERE g.subject_id = sp.subject_id AND g.vertex = sp.vertex AND layer - 1 >= slot AND layer - 1 <= 4 AND EXISTS (SELECT 1 FROM g g2 WHERE g2.subject_id = sp.subject_id AND g2.vertex = sp.vertex AND g2.layer - 1 = slot)), 0.0) AS depth FROM sp)"
+DEPTH = ", sp AS (SELECT subject_id, vertex, unnest(range(0, 12)) AS slot FROM (SELECT DISTINCT subject_id, vertex FROM g)), dp AS (SELECT subject_id, vertex, slot, -coalesce((SELECT sum(distance) FROM g WHERE g.subject_id = sp.subject_id AND g.vertex = sp.vertex AND layer - 1 >= slot AND layer - 1 <= 4 AND EXISTS (SELECT 1 FROM g g2 WHERE g2.subject_id = sp.subject_id AND g2.vertex = sp.vertex AND g2.layer - 1 = slot)), 0.0) + coalesce((SELECT sum(distance) FROM g WHERE g.subject_id = sp.subject_id AND g.vertex = sp.vertex AND layer - 1 > 4 AND layer <= slot AND EXISTS (SELECT 1 FROM g g2 WHERE g2.subject_id = sp.subject_id AND g2.vertex = sp.vertex AND g2.layer = slot)), 0.0) AS depth FROM sp)"
 
 
 @query("signed_depth", "ly", STEP + DEPTH + " SELECT subject_id, vertex, CAST(slot AS BIGINT) AS slot, round(depth, 6) + 0.0 AS depth FROM dp")

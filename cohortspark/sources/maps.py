@@ -25,6 +25,13 @@ def unpack(packed: DataFrame, keys: list[str], values: str = "values") -> DataFr
     return packed.select(*keys, F.posexplode(values).alias("vertex", "value")).withColumn("value", F.col("value").cast("double"))
 
 
+def joined_hemispheres(long: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, values): the left map and then the right one as one array, in vertex order; subjects that lack a side are left
+    out. An array is as long as two meshes."""
+    packed = long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("hemi", "vertex", "value"))).alias("v"), F.count_distinct("hemi").alias("n"))
+    return packed.where("n = 2").select(*keys, F.transform("v", lambda x: x["value"]).alias("values"))
+
+
 def loaded_subjects(maps: DataFrame, keys: list[str]) -> DataFrame:
     """The subjects a scan really brought, for aligning demographics with data."""
     return maps.select(*keys).distinct()
