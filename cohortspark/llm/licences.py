@@ -146,6 +146,59 @@ TEXT_RULES = [
 PART_OF = {"BSD-2-Clause": ("BSD-3-Clause", "BSD-4-Clause"), "BSD-3-Clause": ("BSD-4-Clause",)}
 
 
+#: Any words on the same line, up to so many: before or after a notice, or where a licence names an organisation.
+BEFORE, AFTER, SOMEONE = "<8>", "<12>", "<-12>"
+#: Known sentences with a part that may be any words.
+OPEN = {
+    "bsd-endorse-org": f"neither the name of {SOMEONE} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-orgs": f"neither the names of {SOMEONE} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-name": f"the name of {SOMEONE} may not be used to endorse or promote products derived from this software without specific prior written permission",
+}
+#: Names that prose gives licences, and the licence: "licensed under the ... license".
+PROSE = {
+    "mit license": "MIT",
+    "mit licence": "MIT",
+    "apache license 2 0": "Apache-2.0",
+    "apache 2 0 license": "Apache-2.0",
+    "bsd 2 clause license": "BSD-2-Clause",
+    "bsd 3 clause license": "BSD-3-Clause",
+    "isc license": "ISC",
+    "mozilla public license 2 0": "MPL-2.0",
+    "mozilla public license version 2 0": "MPL-2.0",
+    "gnu general public license v2 0": "GPL-2.0",
+    "gnu general public license version 2": "GPL-2.0",
+    "gnu general public license v3 0": "GPL-3.0",
+    "gnu lesser general public license version 3": "LGPL-3.0",
+    "gnu affero general public license version 3": "AGPL-3.0",
+    "gplv2": "GPL-2.0",
+    "gplv3": "GPL-3.0",
+    "unlicense": "Unlicense",
+}
+
+
+def _notices() -> tuple[dict[str, str], dict[str, str], list]:
+    """Notices in prose, the GNU licences of one version only, and tags of a licence identifier."""
+    known, free, rules = {}, {}, []
+    for name, licence in PROSE.items():
+        for verb in ("licensed", "released", "distributed", "available"):
+            key = f"prose-{verb}-{name.replace(' ', '-')}"
+            free[key] = f"{BEFORE} {verb} under the {name} {AFTER}"
+            rules.append((licence, (key,)))
+    for short, name, versions in (("GPL", "general", ("2", "3")), ("LGPL", "lesser general", ("2.1", "3")), ("AGPL", "affero general", ("3",))):
+        for v in versions:
+            number = v.replace(".", " ")
+            for n, terms in enumerate((f"gnu {name} public license version {number}", f"version {number} of the gnu {name} public license")):
+                key = f"{short.lower()}-{v}-only-{n}"
+                known[key] = f"you can redistribute it and or modify it under the terms of {'the ' if not n else ''}{terms} as published by the free software foundation"
+                rules.append((f"{short}-{v if '.' in v else v + '.0'}-only", (key,)))
+    names = {licence for licence, _ in RULES + HEADER_RULES + TEXT_RULES + rules + _families()[1]} - {"AllRightsReserved"}
+    for licence in sorted(names):
+        known[f"spdx-{licence.lower()}"] = "spdx license identifier " + re.sub("[^a-z0-9]+", " ", licence.lower())
+        rules.append((licence, (f"spdx-{licence.lower()}",)))
+    rules += [(name, tuple(open_ if i == "bsd-endorse" else i for i in ids)) for name, ids in TEXT_RULES if "bsd-endorse" in ids for open_ in OPEN]
+    return known, OPEN | free, rules
+
+
 def _families() -> tuple[dict[str, str], list]:
     """File notices of the GNU licences with a later version, and titles of the Creative Commons licences, by their patterns."""
     known, rules = {}, []
@@ -164,7 +217,12 @@ def _families() -> tuple[dict[str, str], list]:
 
 
 FAMILIES, FAMILY_RULES = _families()
-KNOWN, ALL_RULES = SENTENCES | HEADERS | TEXTS | FAMILIES, RULES + HEADER_RULES + TEXT_RULES + FAMILY_RULES
+NOTICES, FREE, NOTICE_RULES = _notices()
+FREE_RULES = [rule for rule in NOTICE_RULES if any(i in FREE for i in rule[1])]
+KNOWN, ALL_RULES = SENTENCES | HEADERS | TEXTS | FAMILIES | NOTICES, RULES + HEADER_RULES + TEXT_RULES + FAMILY_RULES + [r for r in NOTICE_RULES if r not in FREE_RULES]
+#: Every known sentence has one of these beginnings of a word; texts without any can't hold one.
+SIGNS = ("licen", "permission", "redistribut", "reserved", "unencumbered", "warranty", "version", "commons", "cc0", "advertising", "gplv")
+TAG = "(?i)(SPDX-License-Identifier):"
 ENDS = r"([.!?;:])[ \t\r\n\f\x0B]+"
 #: What comes before a line's text: comment leaders, bullets, numbers of a list.
 LEADER = r"(^|\n)[^\p{L}\p{N}\n]*(?:(?i:dnl|rem)[ \t]+)?(?:\(?(?i:[0-9]{1,2}|[a-z]|[ivx]{2,4})\)[ \t]+)?"
@@ -172,14 +230,14 @@ OTHER = r"[^a-z0-9\n]+"
 
 
 def sentences(text: Column) -> Column:
-    """Pieces between line ends and sentence ends."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), ENDS, "$1\n")
+    """Pieces between line ends and sentence ends; an identifier's tag does not end one."""
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), TAG, "$1"), ENDS, "$1\n")
     return F.filter(F.split(marked, "\n"), lambda s: s != "")
 
 
 def normalise(text: Column) -> Column:
     """Words with one blank between them; a line end within a paragraph is one newline, the end of a sentence or paragraph two."""
-    lines = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    lines = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), TAG, "$1"), "\r\n?", "\n")
     marked = F.regexp_replace(F.regexp_replace(lines, LEADER, "$1"), ENDS, "$1\n\n")
     return F.regexp_replace(F.regexp_replace(F.lower(marked), OTHER, " "), " ?\n ?", "\n")
 
@@ -189,18 +247,38 @@ def pattern(ids: tuple[str, ...]) -> str:
     return "," + "".join("(?:[^,]+,)*" if i == GAP else re.escape(i).replace("\\-", "-") + "," for i in ids)
 
 
-def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", known: dict[str, str] = KNOWN, rules: list = ALL_RULES, part_of: dict[str, tuple] = PART_OF) -> DataFrame:
+def _free(sentence: str, gap: str) -> str:
+    """A regular expression for a known sentence with open parts; gap stands between words."""
+    out = ""
+    for w in sentence.split(" "):
+        if w == BEFORE:
+            out += f"(?:[a-z0-9]+ ){{0,{BEFORE[1:-1]}}}"
+        elif w == AFTER:
+            out = out.removesuffix(gap) + f"(?: [a-z0-9]+){{0,{AFTER[1:-1]}}}"
+        elif w == SOMEONE:
+            out += f"(?:[a-z0-9]+{gap}){{1,{SOMEONE[2:-1]}}}"
+        else:
+            out += w + gap
+    return out.removesuffix(gap)
+
+
+def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", known: dict[str, str] = KNOWN, rules: list = ALL_RULES + FREE_RULES, part_of: dict[str, tuple] = PART_OF, free: dict[str, str] = FREE) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences, n_licences): one row for each row of docs.
 
     n_sentences counts the pieces between line ends and sentence ends, sentence_ids are the identifiers found in text
     order, licences the recognised ones sorted, without those that are part of another recognised one, both comma-joined. A known sentence may span lines, not paragraphs; of
-    two that begin at one place the longer is found. Null and empty texts have no sentences; a repeated row gives a
-    repeated result."""
+    two that begin at one place the longer is found, those with open parts (`free`) last. Null and empty texts have no sentences; a
+    repeated row gives a repeated result; long texts are searched whole, in one pass. Texts without any of SIGNS can't hold a known
+    sentence and are not searched."""
     table = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
     longest_first = sorted(known.values(), key=len, reverse=True)
-    wrapped = "|".join("[ \n]".join(map(re.escape, s.split(" "))) for s in longest_first)
+    wrapped = "|".join(["[ \n]".join(map(re.escape, s.split(" "))) for s in longest_first] + [_free(s, "[ \n]") for s in free.values()])
+    low = F.lower(F.coalesce(text, F.lit("")))
+    signed = reduce(lambda a, b: a | b, [low.contains(x) for x in SIGNS])
     matches = F.regexp_extract_all(F.trim(normalise(F.col(text))), F.lit(rf"(?<![^\n])(?:{wrapped})(?![^\n])"), F.lit(0))
-    found = docs.select(doc_id, F.size(sentences(F.col(text))).cast("long").alias("n_sentences"), F.transform(matches, lambda m: table[F.translate(m, "\n", " ")]).alias("_ids"))
+    opened = lambda m: reduce(lambda rest, x: F.when(F.rlike(m, F.lit(f"^{_free(x[1], ' ')}$")), x[0]).otherwise(rest), reversed(free.items()), F.lit(None).cast("string"))
+    named = F.transform(matches, lambda m: F.coalesce(table[F.translate(m, "\n", " ")], opened(F.translate(m, "\n", " "))))
+    found = docs.select(doc_id, F.size(sentences(F.col(text))).cast("long").alias("n_sentences"), F.when(signed, named).otherwise(F.array().cast("array<string>")).alias("_ids"))
     found = found.withColumn("_seq", F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(",")))
     matched = F.array_distinct(F.filter(F.array(*[F.when(F.rlike(F.col("_seq"), F.lit(pattern(ids))), F.lit(name)) for name, ids in rules]), lambda x: x.isNotNull()))
     found = found.withColumn("_m", matched)
@@ -217,13 +295,15 @@ def op5_licences(spark, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     cases = " ".join(f"WHEN '{s}' THEN '{name}'" for name, s in KNOWN.items())
-    rules = ", ".join(f"CASE WHEN regexp_matches(seq, '{pattern(ids)}') THEN '{name}' END" for name, ids in ALL_RULES)
+    opened = " ".join(f"WHEN regexp_matches(t, '^{_free(s, ' ')}$') THEN '{name}'" for name, s in FREE.items())
+    rules = ", ".join(f"CASE WHEN regexp_matches(seq, '{pattern(ids)}') THEN '{name}' END" for name, ids in ALL_RULES + FREE_RULES)
     parts = " OR ".join(f"(x = '{p}' AND list_has_any(l, {list(w)}))" for p, w in PART_OF.items())
     return rf"""
 WITH cut AS (
-  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r\n\f\x0B]+', '\1' || chr(10), 'g'), chr(10)), lambda s: s <> '') AS s FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{TAG}', '\1', 'g'), '([.!?;:])[ \t\r\n\f\x0B]+', '\1' || chr(10), 'g'), chr(10)), lambda s: s <> '') AS s FROM documents),
 one AS (SELECT r, unnest(s) AS s, generate_subscripts(s, 1) AS nth FROM cut),
-named AS (SELECT r, nth, CASE trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) {cases} END AS name FROM one),
+plain AS (SELECT r, nth, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS t FROM one),
+named AS (SELECT r, nth, coalesce(CASE t {cases} END, CASE {opened} END) AS name FROM plain),
 ids AS (SELECT r, string_agg(name, ',' ORDER BY nth) AS ids FROM named WHERE name IS NOT NULL GROUP BY r),
 joined AS (SELECT doc_id, len(s) AS n, coalesce(ids, '') AS ids, ',' || coalesce(ids, '') || ',' AS seq FROM cut LEFT JOIN ids USING (r)),
 every AS (SELECT doc_id, n, ids, list_sort(list_distinct(list_filter([{rules}], lambda x: x IS NOT NULL))) AS l FROM joined),

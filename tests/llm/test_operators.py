@@ -451,6 +451,35 @@ def test_licences_of_full_texts_and_gaps(spark):
     assert all(words) and len(set(licences.KNOWN.values())) == len(words)
 
 
+def test_licences_by_notice_tag_and_organisation(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    endorse = "* Neither the name of {} nor the names of its contributors may be used to endorse or\npromote products derived from this software without specific prior written permission.\n"
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of {} as published by the Free Software Foundation."
+    cases = [
+        (bsd + endorse.format("Google Inc. nor"), "BSD-2-Clause"),
+        (bsd + endorse.format("Google Inc"), "BSD-3-Clause"),
+        (bsd + endorse.format("the\nUniversity of Somewhere"), "BSD-3-Clause"),
+        (bsd + endorse.format("a " * 13), "BSD-2-Clause"),
+        (gpl.format("the GNU General Public License version 2"), "GPL-2.0-only"),
+        (gpl.format("version 3 of the GNU Affero General Public License"), "AGPL-3.0-only"),
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+        ("SPDX-License-Identifier: Unknown-1.0", ""),
+        ("mit\nisc", ""),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+        ("Code is\ndistributed under the Apache License 2.0", "Apache-2.0"),
+        ("Code is distributed under\nthe Apache License, 2.0", "Apache-2.0"),
+        ("It is licensed under the GPLv3!", "GPL-3.0"),
+        ("word " * 20 + "licensed under the MIT License", ""),
+        ("x" * 300_000 + ". Licensed under the MIT License. " + "no words " * 40_000, "MIT"),
+        ("Not licensed under the MITIGATED License", ""),
+    ]
+    cases[0] = (bsd + endorse.format("nor"), "BSD-3-Clause")  # a name is any words
+    got = licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licences"] for r in got] == [want for _, want in cases]
+    assert all(any(sign in s for sign in licences.SIGNS) for s in [*licences.KNOWN.values(), *licences.FREE.values()])
+
+
 def labelled(spark, n=400):
     r, words = random.Random(8), vocabulary(2, 200)
     rows = []
