@@ -65,3 +65,8 @@ def entity(path: Column, name: str) -> Column:
 def map_path(**entities: Column) -> Column:
     """A file name of entities in the given order."""
     return F.concat_ws("_", *[F.concat(F.lit(f"{k}-"), v) for k, v in entities.items()])
+
+
+def report_date(when: Column) -> Column:
+    """A date as reports print it: January 31, 2024."""
+    return F.date_format(when, "MMMM dd, yyyy")

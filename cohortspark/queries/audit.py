@@ -80,6 +80,22 @@ def demo_validated(spark, sf_dir):
     return out.select("participant_id", "AGE", rounded(F.col("BALANCE")).alias("BALANCE"), "SEX")
 
 
+@query("demo_inherited", "dm", ", first AS (SELECT lower(SEX) AS v FROM dm WHERE participant_id % 3 <> 0 ORDER BY row_ordinal LIMIT 1) SELECT participant_id, AGE, CASE WHEN lower(SEX) = (SELECT v FROM first) THEN 1 ELSE 0 END AS SEX FROM dm WHERE participant_id % 3 = 0")
+def demo_inherited(spark, sf_dir):
+    """Patients that declare no columns take those of the controls, and their codes, though a patient's value is seen first."""
+    dm = X.demographics(spark, sf_dir).withColumn("AGE", F.col("AGE").cast("string"))
+    _, reference = D.normative(dm.where("participant_id % 3 <> 0"), "row_ordinal", {"AGE": "int", "SEX": "binary"})
+    patients, _ = D.normative(dm.where("participant_id % 3 = 0").withColumn("row_ordinal", -F.col("row_ordinal")), "row_ordinal", reference=reference)
+    return patients.select("participant_id", "AGE", "SEX")
+
+
+@query("report_dates", None, "SELECT user_id AS participant_id, strftime(max(ts), '%B %d, %Y') AS printed FROM events GROUP BY user_id")
+def report_dates(spark, sf_dir):
+    """The date of each subject's last event as reports print it."""
+    last = X.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("participant_id")).agg(F.max("ts").alias("last"))
+    return last.select("participant_id", names.report_date(F.col("last")).alias("printed"))
+
+
 CODES = ", f AS (SELECT lower(SEX) AS value, min(row_ordinal) AS seen FROM dm GROUP BY ALL), codes AS (SELECT value, CASE WHEN seen = (SELECT min(seen) FROM f) THEN 1 ELSE 0 END AS code FROM f)"
 
 

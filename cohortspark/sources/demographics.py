@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -143,6 +144,24 @@ def validated(frame: DataFrame, columns: dict[str, str], order: str, reference:
     return frame, used
 
 
+@dataclass
+class Normative:
+    """What a cohort's normative columns are: their declared types, and the codes of its binary ones."""
+
+    columns: dict[str, str]
+    codes: dict[str, DataFrame]
+
+
+def normative(frame: DataFrame, order: str, columns: dict[str, str] | None = None, reference: Normative | None = None, to: str | None = None) -> tuple[DataFrame, Normative]:
+    """`validated`, for cohorts that belong together: without columns of its own a cohort takes those of the reference, their
+    types included, and it is always coded as the reference was. Neither: no column is normative."""
+    inherited = columns if columns is not None else reference.columns if reference else {}
+    if not inherited:
+        return frame, Normative({}, {})
+    out, codes = validated(frame, inherited, order, reference.codes if reference else None, to)
+    return out, Normative(inherited, codes)
+
+
 def cohort_summary(frame: DataFrame, age: str, sex: str) -> DataFrame:
     """One row: n, mean age, sample deviation, counts and percentages by sex."""
     n = F.count("*")
