@@ -1,5 +1,6 @@
 """The corpus pipeline: stage by stage against the operators' brute-force rules, on a small table."""
 
+import os
 import random
 import re
 
@@ -69,3 +70,6 @@ def test_run(spark, folder):
     path, _ = folder
     out = corpus_pipeline.run(spark, path)
     assert out.count() == 32 and out.where("taken > 3 * size").count() == 0
+    stages = {os.path.basename(os.path.dirname(f)) for f in out.inputFiles()}
+    parent = os.path.dirname(os.path.dirname(out.inputFiles()[0].removeprefix("file://")))
+    assert stages == {"4-mixing"} and os.listdir(parent) == ["4-mixing"]
