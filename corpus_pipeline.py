@@ -71,11 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written as Parquet to the shared folder and read again."""
+    """All stages over `documents`; each result is written as Parquet to the shared folder and read again. A stage's folder goes
+    when the next one is written; the last one stays, for the result is read from it."""
     common.ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            common.remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
