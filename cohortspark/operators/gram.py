@@ -39,12 +39,14 @@ def moments(frame: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, n, mean, scatter): for each key the number of rows, the columns' means, and the sums of centred products as
     the upper triangle of a matrix, row by row. Rows with a null in a column are left out; NaN makes a column's entries NaN."""
     f = len(columns)
-    wide = frame.dropna(subset=columns).select(*keys, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    wide = frame.select(*keys, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
     kinds = ", ".join(f"`{k}` {wide.schema[k].dataType.simpleString()}" for k in keys)
     upper = np.triu_indices(f)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # nulls are looked for here: as many not-null filters over renamed columns would occupy the optimizer
+            batch = batch.filter(pa.array(~np.any([batch.column(f"_{i}").is_null().to_numpy(zero_copy_only=False) for i in range(f)], axis=0)))
             if not batch.num_rows:
                 continue
             x = np.stack([batch.column(f"_{i}").to_numpy(zero_copy_only=False) for i in range(f)], 1)

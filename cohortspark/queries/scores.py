@@ -255,9 +255,11 @@ def feature_covariance(spark, sf_dir):
     """All covariances of 64 features by cohort, from packed matrices."""
     wide = X.table(spark, sf_dir, "embeddings").select(F.when(F.col("label") < 5, "control").otherwise("patient").alias("cohort"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
     m = gram.moments(wide, ["cohort"], [f"f{i}" for i in range(64)])
-    places = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j")) for i in range(64) for j in range(i, 64)])
-    long = m.select("cohort", "n", F.explode(F.arrays_zip(places.alias("at"), F.col("scatter").alias("s"))).alias("x"))
-    return long.select("cohort", "x.at.i", "x.at.j", "n", rounded(F.col("x.s") / (F.col("n") - 1)).alias("covariance"))
+    entry = m.select("cohort", "n", F.posexplode("scatter").alias("k", "s"))
+    # row i of the upper triangle begins at k = i (2 * 64 - i + 1) / 2
+    row = F.floor((129 - F.sqrt(129.0 * 129 - 8 * F.col("k"))) / 2).cast("bigint")
+    column = (F.col("k") - F.expr("i * (129 - i) div 2") + F.col("i")).cast("bigint")
+    return entry.withColumn("i", row).withColumn("j", column).select("cohort", "i", "j", "n", rounded(F.col("s") / (F.col("n") - 1)).alias("covariance"))
 
 
 @query("ts_rmssd", "ts", ", d AS (SELECT series_id, value - lag(value) OVER (PARTITION BY series_id ORDER BY t) AS d FROM ts) SELECT series_id, round(CASE WHEN count(*) > 1 THEN sqrt(sum(d * d)) / (count(*) - 1) ELSE 'NaN'::DOUBLE END, 6) + 0.0 AS rmssd FROM d GROUP BY series_id")
