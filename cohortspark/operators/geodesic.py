@@ -26,7 +26,7 @@ def distances(points: DataFrame, edge: DataFrame, surface: list[str], reach: flo
     finite = F.expr(" and ".join(f"abs({c}) < double('infinity')" for c in "xyz"))
     at = lambda n: points.where(finite).select(*surface, F.col("vertex").alias(n), *[F.col(c).cast("double").alias(f"{c}_{n}") for c in "xyz"])
     long = F.sqrt(sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) * (F.col(f"{c}_a") - F.col(f"{c}_b")) for c in "xyz"), F.lit(0.0)))
-    sides = edge.join(at("a"), [*surface, "a"]).join(at("b"), [*surface, "b"]).withColumn("length", long).where((F.col("length") <= reach) & (F.col("a") != F.col("b")))
+    sides = edge.join(at("a").hint("merge"), [*surface, "a"]).join(at("b").hint("merge"), [*surface, "b"]).withColumn("length", long).where((F.col("length") <= reach) & (F.col("a") != F.col("b")))
     own = F.lit(True)
     for i, c in enumerate("xyz"):
         a, b = F.col(f"{c}_a"), F.col(f"{c}_b")
@@ -45,7 +45,7 @@ def distances(points: DataFrame, edge: DataFrame, surface: list[str], reach: flo
         return pa.table([*fixed, pa.array(names[found[0]]), pa.array(names[found[1]]), pa.array(found[2])], names=[*surface, "a", "b", "distance"])
 
     pairs = sides.select(*cube, "a", "b", "length", own.alias("own")).groupBy(*cube).applyInArrow(grow, schema)
-    self = points.select(*surface, F.col("vertex").alias("a"), F.col("vertex").alias("b"), F.lit(0.0).alias("distance")).distinct()
+    self = points.select(*surface, F.col("vertex").alias("a"), F.col("vertex").alias("b"), F.lit(0.0).alias("distance")).repartition(*surface, "a").distinct()
     return pairs.unionByName(self)
 
 
