@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark import catalog
+from cohortspark import catalog, fixtures
 from cohortspark.operators import mesh
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,3 +40,16 @@ def test_profile_is_its_pieces(spark):
     got = mesh.depth_profile(layers, ["v"])
     assert cells(got) == cells(want)
     assert plan(mesh.depth_profile(layers, ["v"])).count("Exchange hashpartitioning") == 1
+
+
+def test_layer_means_in_any_order(spark, tmp_path):
+    """Means whose seventh decimal is a 5, from 32 rows: floating-point sums rounded them up or down by the order of rows."""
+    cents = [5000000 + (i * 7919 + j * 104729) % 4999999 for j in range(40) for i in range(32)]
+    cents[::32] = [c + 1 - sum(cents[32 * j : 32 * j + 32]) % 2 for j, c in enumerate(cents[::32])]  # odd sums: the sixth decimal's ties
+    lines = [(j, 8 * i, 1, float(1 + i % 50), (i % 11) / 100, (i % 9) / 100, cents[32 * j + i] / 100) for j in range(40) for i in range(32)]
+    schema = "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_extendedprice double"
+    want = {j: sum(cents[32 * j : 32 * j + 32]) / 3200 for j in range(40)}
+    for k, rows in enumerate((lines, lines[::-1])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        got = {r["subject_id"]: r["value"] for r in fixtures.layers(spark, f"{tmp_path}/{k}").collect()}
+        assert got == want
