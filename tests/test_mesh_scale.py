@@ -53,3 +53,16 @@ def test_layer_means_in_any_order(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
         got = {r["subject_id"]: r["value"] for r in fixtures.layers(spark, f"{tmp_path}/{k}").collect()}
         assert got == want
+
+
+@needs_tables
+def test_bricks_are_not_broadcast(spark):
+    for name in ("process_hippocampus", "process_cohort"):
+        joins = [line for line in plan(catalog.QUERIES[name](spark, FOLDER)).splitlines() if "Join" in line and "bk#" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_edges_are_spread_before_they_are_distinct(spark):
+    """One task that read many triangles gathered all of their edges."""
+    text = plan(mesh.edges(spark.createDataFrame([(0, 1, 2), (1, 2, 3)], "v0 int, v1 int, v2 int"), []))
+    assert text.index("Exchange hashpartitioning") > text.rindex("HashAggregate")
