@@ -3,6 +3,7 @@
 import math
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,37 @@ def test_layer_means_in_any_order(spark, tmp_path):
         assert got == want
 
 
+def against_sql(spark, folder, name, rows):
+    """Rows of a query and of its SQL over these order lines."""
+    schema = "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_extendedprice double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    result = con.execute(catalog.ORACLES[name])
+    columns = [c[0] for c in result.description]
+    mine = catalog.QUERIES[name](spark, str(folder)).select(*columns).collect()
+    cells = lambda rows: sorted(tuple("none" if x is None else x if isinstance(x, str) else repr(float(x) + 0.0) for x in row) for row in rows)
+    return cells(mine), cells(result.fetchall())
+
+
+#: Values with three and four decimals, as means of hundredths are none; a layer of hundredths among them.
+FINER = [(1, 8 * i, n, 1.0 + i + n, 0.001 * (i + n), 0.0625, 100.125 * (i + 1) + 0.001 * n) for i in range(5) for n in (1, 2, 3, 5, 6, 7)] + [(1, 8, 4, 5.0, 0.03, 0.06, 200.55)]
+
+
+def test_profile_of_values_finer_than_hundredths(spark, tmp_path):
+    """They were rounded to hundredths before they were added up."""
+    mine, theirs = against_sql(spark, tmp_path, "depth_profile", FINER)
+    assert mine == theirs
+
+
+def test_profile_of_rows_without_keys(spark, tmp_path):
+    """As in the SQL, null keys have no depths, and a layer without a number comes last."""
+    rows = [(*key, n, float(n * n), 0.01 * n, 0.02, 10.0 * n) for key in ((None, 0), (2, None)) for n in range(1, 8)]
+    rows += [(3, 0, n, 5.0 * (n or 9), 0.01 * (n or 3), 0.02, 10.0 * (n or 4)) for n in (1, 2, 3, None, 7)]
+    mine, theirs = against_sql(spark, tmp_path, "depth_profile", rows)
+    assert mine == theirs
+
+
 @needs_tables
 def test_bricks_are_not_broadcast(spark):
     for name in ("process_hippocampus", "process_cohort"):
