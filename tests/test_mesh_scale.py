@@ -87,6 +87,18 @@ def test_profile_of_rows_without_keys(spark, tmp_path):
     assert mine == theirs
 
 
+def test_gradient_of_values_finer_than_hundredths(spark, tmp_path):
+    mine, theirs = against_sql(spark, tmp_path, "layer_gradient", FINER)
+    assert mine == theirs
+
+
+def test_gradient_of_a_layer_without_a_number(spark, tmp_path):
+    """It came first, so that layer 0 had a distance."""
+    rows = [(3, 0, n, 5.0 * (n or 9), 0.01 * (n or 3), 0.02, 10.0 * (n or 4)) for n in (1, 2, 3, None, 7)]
+    mine, theirs = against_sql(spark, tmp_path, "layer_gradient", rows)
+    assert mine == theirs
+
+
 @needs_tables
 def test_bricks_are_not_broadcast(spark):
     for name in ("process_hippocampus", "process_cohort"):
